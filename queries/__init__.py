@@ -1,5 +1,5 @@
 """Every operator as a query over the given tables, with its SQL check."""
 
-from queries import joins
+from queries import joins, schemas
 
-REGISTRY = {**joins.QUERIES}
+REGISTRY = {**joins.QUERIES, **schemas.QUERIES}

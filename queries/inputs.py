@@ -8,16 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from pipecheck.functions.types import schema_from_ddl
+from pyspark.sql import types as T
 
 # Destination schemas of the loads.
-STG_SALES = schema_from_ddl(
-    "order_id BIGINT, customer_id INTEGER, amount DOUBLE, order_date DATE, region TEXT"
+def _schema(*columns: tuple[str, str]) -> T.StructType:
+    schema = T.StructType()
+    for name, data_type in columns:
+        schema.add(name, data_type)
+    return schema
+
+
+STG_SALES = _schema(
+    ("order_id", "long"), ("customer_id", "integer"), ("amount", "double"),
+    ("order_date", "date"), ("region", "string"),
+)
+FACT_PRICING = _schema(("product_id", "string"), ("price", "double"), ("effective_date", "date"))
+DIM_CUSTOMERS = _schema(
+    ("id", "integer"), ("name", "string"), ("region", "string"), ("segment", "string"), ("balance", "double"),
 )
-FACT_PRICING = schema_from_ddl("product_id VARCHAR, price DOUBLE, effective_date DATE")
-DIM_CUSTOMERS = schema_from_ddl("id INTEGER, name TEXT, region TEXT, segment TEXT, balance REAL")
-ENRICHED = schema_from_ddl("order_id BIGINT, customer_name VARCHAR, order_total DOUBLE")
+ENRICHED = _schema(("order_id", "long"), ("customer_name", "string"), ("order_total", "double"))
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pipecheck.functions.shapes import strip_prefix
 from pipecheck.operators import keys
 from pipecheck.operators.align import align_to_schema
 from pipecheck.operators.verify import apply_repair, verify
@@ -70,9 +69,8 @@ def lost_join_keys(spark, sf_dir):
 
 
 def verify_repair(spark, sf_dir):
-    """Share of segments whose repaired rows reach a minimum."""
-    result = verify(enriched(spark, sf_dir), F.col("order_total").isNotNull(), min_rows=5)
-    return result
+    """The repaired join has rows with a total, and enough of them."""
+    return verify(enriched(spark, sf_dir), F.col("order_total").isNotNull(), min_rows=5)
 
 
 def dry_run(spark, sf_dir):
