@@ -1,5 +1,11 @@
 """Every operator as a query over the given tables, with its SQL check."""
 
-from queries import joins, schemas
+from queries import joins, logs, reports, schemas, scores
 
-REGISTRY = {**joins.QUERIES, **schemas.QUERIES}
+REGISTRY = {
+    **joins.QUERIES,
+    **schemas.QUERIES,
+    **logs.QUERIES,
+    **reports.QUERIES,
+    **scores.QUERIES,
+}
