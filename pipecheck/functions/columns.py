@@ -18,3 +18,14 @@ def rows_of(aggregate: DataFrame, rows: Sequence[Column], schema: str) -> DataFr
     if not rows:
         return aggregate.sparkSession.createDataFrame([], schema)
     return aggregate.select(F.inline(F.array(*[r.cast(f"struct<{schema}>") for r in rows])))
+
+
+def each(df: DataFrame, array: str, element: str) -> DataFrame:
+    """One row per array element, the array itself dropped.
+
+    The outer form, because for the inner one Spark adds a filter on the array's
+    size under the scan, and an array from a pattern would be worked out twice.
+    """
+    rest = [named(c) for c in df.columns if c != array]
+    rows = df.select(*rest, F.explode_outer(array).alias(element))
+    return rows.filter(named(element).isNotNull())

@@ -15,16 +15,14 @@ STOP_WORDS = (
     "how", "when", "where", "why", "all", "each", "both", "few", "more",
 )
 
-# Fixed value: what counts as a word.
-TERM = "[a-z0-9_]+"
+# Fixed value: what counts as a word; a single character does not.
+TERM = "[a-z0-9_]{2,}"
 
 
 def term_set(text: Column) -> Column:
     """Distinct words of a text without stop words and single characters."""
     words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.array_except(F.array_distinct(words), stop)
-    return F.filter(kept, lambda w: F.length(w) > 1)
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def matched_terms(predicted: Column, expected: Column) -> Column:

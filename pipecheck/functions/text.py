@@ -42,6 +42,7 @@ BLOCK_TO_NEXT_LABEL = r":\s*\n(.*?)(?=\n[A-Z_]+:|$)"
 FENCE_OPEN = r"(?:sql|SQL)?\s*\n(.*?)"
 LEADING_FENCE = r"^(?:```|~~~)\w*\s*\n?"
 TRAILING_FENCE = r"\n?(?:```|~~~)\s*$"
+FENCE_LINE = r"^[^\S\n]*(?:```|~~~)[^\S\n]*$\n?"
 INSERT_WORDS = r"\bINSERT\s+INTO\b"
 BARE_INSERT = (
     r"(INSERT\s+INTO\s+\w+\s*\([^)]+\)\s*\n\s*SELECT\s+.+?)"
@@ -82,8 +83,7 @@ def strip_fences(sql: Column) -> Column:
     """Remove code fences at both ends and lines that hold only a fence."""
     opened = F.regexp_replace(sql, f"(?dU){LEADING_FENCE}", "")
     closed = F.regexp_replace(opened, f"(?dU){TRAILING_FENCE}", "")
-    lines = F.filter(F.split(closed, "\n"), lambda line: ~strip(line).isin(*FENCES))
-    return strip(F.array_join(lines, "\n"))
+    return strip(F.regexp_replace(closed, f"(?mdU){FENCE_LINE}", ""))
 
 
 def sql_block(text: Column, label: str) -> Column:

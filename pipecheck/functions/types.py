@@ -128,4 +128,7 @@ def safe_cast(column: Column, source_type: T.DataType, dest_type: T.DataType) ->
 
 def uncastable(column: Column, source_type: T.DataType, dest_type: T.DataType) -> Column:
     """True for a value that is present but lost by the cast."""
+    same = sql_name(source_type) == sql_name(dest_type) or isinstance(dest_type, T.StringType)
+    if same or is_widening(source_type, dest_type):
+        return F.lit(False)
     return column.isNotNull() & safe_cast(column, source_type, dest_type).isNull()

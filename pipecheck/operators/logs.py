@@ -18,13 +18,11 @@ BAD_PATTERN = "bad pattern"
 def pattern_error(spark: SparkSession, pattern: str) -> str | None:
     """Why a pattern cannot be used, None when it can; asked once, before any scan."""
     try:
-        spark.range(1).select(matches(F.lit(""), pattern)).first()
+        spark.range(1).select(F.regexp_extract(F.lit(""), f"(?iud){pattern}", 0)).first()
     except PySparkException as problem:
-        return str(problem)
-    except Exception as problem:  # the regex compiler's own error, through py4j
-        if "PatternSyntaxException" not in str(problem):
+        if problem.getCondition() != "INVALID_PARAMETER_VALUE.PATTERN":
             raise
-        return str(problem)
+        return str(problem).splitlines()[0]
     return None
 
 

@@ -55,7 +55,7 @@ def uncastable_shapes(df: DataFrame, targets: Targets, runs: bool = False) -> Da
         )
         for column, dest_type in targets.items()
     ]
-    values = df.select(F.inline(F.array_compact(F.array(*offenders))))
+    values = df.select(F.inline(F.array(*offenders))).filter(F.col("column_name").isNotNull())
     return values.groupBy("column_name", value_shape(F.col("value"), runs).alias("shape")).agg(
         F.count(F.lit(1)).alias("n_values"), F.min("value").alias("example")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: distinct values shown per column.
@@ -11,25 +11,45 @@ SHOWN_VALUES = 10
 BUCKETS = 1024
 
 
-def smallest_distinct(values: DataFrame, key: str, value: str, shown: int = SHOWN_VALUES) -> DataFrame:
-    """The ``shown`` smallest distinct values per key, NULL first; columns (key, value).
+def _bucket(value: str) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).alias("bucket")
 
-    A DISTINCT would shuffle every distinct value of a column. The smallest value
-    of each of a fixed number of hash buckets takes a small shuffle, and the
+
+def smallest_distinct(values: DataFrame, value: str, shown: int = SHOWN_VALUES) -> DataFrame:
+    """The ``shown`` smallest distinct values of a column, NULL first.
+
+    A DISTINCT would shuffle every distinct value of the column. The smallest
+    value of each of a fixed number of hash buckets takes a small shuffle, and the
     ``shown``-th of them is never below the ``shown``-th smallest distinct value.
-    So a second scan keeps the values up to that bound and the result is exact.
-    ``key`` must have few values: it is the name of a column.
+    So a second scan keeps the values up to that bound, and the result is exact.
     """
-    present = values.filter(F.col(value).isNotNull())
-    bucket = F.pmod(F.xxhash64(value), F.lit(BUCKETS)).alias("bucket")
-    smallest = present.groupBy(key, bucket).agg(F.min(value).alias(value))
-    order = Window.partitionBy(key).orderBy(value)
+    column = F.col(value)
+    lowest = values.filter(column.isNotNull()).groupBy(_bucket(value)).agg(F.min(value).alias("low"))
+    head = lowest.select("low").orderBy("low").limit(shown)
+    bound = head.agg(F.when(F.count("low") == shown, F.max("low"))).scalar()
+    kept = values.select(value).filter(column.isNull() | bound.isNull() | (column <= bound))
+    return kept.distinct().orderBy(F.asc_nulls_first(value)).limit(shown)
+
+
+def smallest_distinct_each(
+    values: DataFrame, key: str, value: str, shown: int = SHOWN_VALUES
+) -> DataFrame:
+    """The same per key, for all keys in two scans; columns (key, value).
+
+    ``key`` is the name of a table's column, so it has few values.
+    """
+    lowest = (
+        values.filter(F.col(value).isNotNull())
+        .groupBy(key, _bucket(value))
+        .agg(F.min(value).alias("bound"))
+    )
+    order = Window.partitionBy(key).orderBy("bound")
     bounds = (
-        smallest.withColumn("rank", F.row_number().over(order))
+        lowest.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") == shown)
-        .select(key, F.col(value).alias("bound"))
+        .select(key, "bound")
     )
-    # One row per sampled column at most.
+    # One row per column of a table at most.
     kept = values.join(F.broadcast(bounds), key, "left").filter(
         F.col("bound").isNull() | F.col(value).isNull() | (F.col(value) <= F.col("bound"))
     )

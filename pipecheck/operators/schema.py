@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipecheck.functions.columns import named, rows_of
+from pipecheck.functions.columns import each, named, rows_of
 from pipecheck.functions.types import is_widening, sql_name, uncastable
-from pipecheck.operators.samples import SHOWN_VALUES, smallest_distinct
+from pipecheck.operators.samples import SHOWN_VALUES, smallest_distinct, smallest_distinct_each
 
 # Results of a comparison, per column.
 OK = "OK"
@@ -143,16 +143,15 @@ def mismatch_samples(source: DataFrame, dest: T.StructType, shown: int = SHOWN_V
         return source.sparkSession.createDataFrame(
             [], "column_name string, value string, is_null boolean"
         )
-    samples = smallest_distinct(_as_rows(source, columns), "column_name", "value", shown)
+    samples = smallest_distinct_each(_as_rows(source, columns), "column_name", "value", shown)
     return samples.withColumn("is_null", F.col("value").isNull())
 
 
 def sample_values(df: DataFrame, column: str, shown: int = SHOWN_VALUES) -> DataFrame:
     """Smallest distinct values of one column, in the order of its own type."""
-    one = df.select(F.lit(column).alias("column_name"), named(column).alias("value"))
-    samples = smallest_distinct(one, "column_name", "value", shown)
+    samples = smallest_distinct(df.select(named(column).alias("value")), "value", shown)
     return samples.select(
-        "column_name",
+        F.lit(column).alias("column_name"),
         F.lit(sql_name(df.schema[column].dataType)).alias("data_type"),
         F.col("value").cast("string").alias("value"),
         F.col("value").isNull().alias("is_null"),
@@ -166,4 +165,4 @@ def resolve_sources(specs: DataFrame, source: str = "source") -> DataFrame:
     names = F.when(F.size(tables) > 0, tables).when(
         F.coalesce(F.length(path), F.lit(0)) > 0, F.array(stem)
     )
-    return specs.withColumn("source_table", F.explode(names))
+    return each(specs.withColumn("source_tables", names), "source_tables", "source_table")

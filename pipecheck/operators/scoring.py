@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipecheck.functions.terms import cause_matches, overlap_ratio, term_set
+from pipecheck.functions.columns import each
+from pipecheck.functions.terms import cause_matches, term_set
 from pipecheck.operators.reports import SUCCESS
 from pipecheck.operators.verify import count_holds
+from pipecheck.session import written
 
 # Share of terms that makes a match, and labels of a result.
 THRESHOLD = 0.5
@@ -35,22 +35,21 @@ def match_all(
     them. So only the n - m + 1 rarest terms of each expected text look for
     partners, and the ratio is worked out for the pairs found: exact, without
     comparing all pairs and without a join on common terms.
+
+    The words are written to the shared folder, as three steps read them.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    have = predicted.select(predicted_id, term_set(F.col(text)).alias("have"))
-    want = expected.select(expected_id, term_set(F.col(text)).alias("want")).filter(F.size("want") > 0)
+    want = expected.select(expected_id, term_set(F.col(text)).alias("want"))
     # Rounded down a little: one term too many in the prefix is never wrong.
     needed = F.ceil(F.size("want") * F.lit(threshold) - F.lit(1e-9))
-    wanted = want.select(
-        expected_id, (F.size("want") - needed + 1).alias("n_prefix"), F.explode("want").alias("term")
-    )
-    words = have.select(predicted_id, F.explode("have").alias("term"))
-    frequency = (
-        words.join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    wanted = each(want.withColumn("n_prefix", F.size("want") - needed + 1), "want", "term")
+    # Texts are split once; only words that some expected text has are kept.
+    vocabulary = wanted.select("term").distinct()
+    split = each(predicted.select(predicted_id, term_set(F.col(text)).alias("have")), "have", "term")
+    words = written(split.select(predicted_id, "term").join(vocabulary, "term", "left_semi"), "words")
+
+    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy(expected_id).orderBy("n", "term")
     prefix = (
         wanted.join(frequency, "term", "left")
@@ -60,11 +59,13 @@ def match_all(
         .select(expected_id, "term")
     )
     pairs = words.join(prefix, "term").select(predicted_id, expected_id).distinct()
-    ratio = overlap_ratio(F.col("have"), F.col("want"))
-    scored = pairs.join(have, predicted_id).join(want, expected_id).withColumn("ratio", ratio)
-    return scored.filter(F.col("ratio") >= F.lit(threshold)).select(
-        predicted_id, expected_id, F.round("ratio", 6).alias("ratio")
+    # At most the words of one text each.
+    have = words.groupBy(predicted_id).agg(F.collect_set("term").alias("have"))
+    shared = F.size(F.array_intersect("want", "have"))
+    scored = pairs.join(have, predicted_id).join(want, expected_id).select(
+        predicted_id, expected_id, (shared / F.size("want")).alias("ratio")
     )
+    return scored.filter(F.col("ratio") >= F.lit(threshold)).withColumn("ratio", F.round("ratio", 6))
 
 
 def case_results(

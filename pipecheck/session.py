@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STAGING_DATABASE = "pipecheck_staging"
 
@@ -38,3 +38,10 @@ def staging_table(spark: SparkSession, name: str) -> str:
     folder = f"{shared_folder(spark)}/pipecheck/staging"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {STAGING_DATABASE} LOCATION '{folder}'")
     return f"{STAGING_DATABASE}.{name}_{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a parquet table in the shared folder: computed once, read often."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,7 +42,7 @@ def log_status(spark, sf_dir):
 
 
 def log_bad_pattern(spark, sf_dir):
-    return logs.log_status(_paths(spark, sf_dir), I.log_lines(spark, sf_dir), "string (").drop("error")
+    return logs.log_status(_paths(spark, sf_dir), I.log_lines(spark, sf_dir), "string (").select("path", "status")
 
 
 def log_fields(spark, sf_dir):
@@ -114,7 +114,7 @@ QUERIES = {
     ),
     "log_bad_pattern": (
         log_bad_pattern,
-        f"WITH {PATHS} SELECT path, CAST(NULL AS BIGINT) AS n_lines, CAST(NULL AS BIGINT) AS n_matches, 'bad pattern' AS status FROM p",
+        f"WITH {PATHS} SELECT path, 'bad pattern' AS status FROM p",
     ),
     "log_fields": (
         log_fields,

@@ -8,6 +8,7 @@ from pipecheck.functions import text as X
 from pipecheck.operators.reports import parse_reports, tool_calls
 from queries import inputs as I
 
+
 def report_fields(spark, sf_dir):
     text = F.col("text")
     return I.answers(spark, sf_dir).select(
