@@ -35,23 +35,29 @@ def missing_terms(predicted: Column, expected: Column) -> Column:
     return F.array_sort(F.array_except(expected, predicted))
 
 
+def _share(predicted: Column, expected: Column, of: Column) -> Column:
+    """Shared terms per term of ``of``; 0 when it has none."""
+    shared = F.size(F.array_intersect(expected, predicted))
+    return F.coalesce(F.try_divide(shared, F.size(of)), F.lit(0.0))
+
+
 def overlap_ratio(predicted: Column, expected: Column) -> Column:
     """Shared terms per expected term; 0 when nothing is expected."""
-    shared = F.size(F.array_intersect(expected, predicted))
-    return F.when(F.size(expected) > 0, shared / F.size(expected)).otherwise(F.lit(0.0))
+    return _share(predicted, expected, expected)
 
 
 def precision(predicted: Column, expected: Column) -> Column:
     """Shared terms per predicted term; 0 when nothing was predicted."""
-    shared = F.size(F.array_intersect(expected, predicted))
-    return F.when(F.size(predicted) > 0, shared / F.size(predicted)).otherwise(F.lit(0.0))
+    return _share(predicted, expected, predicted)
+
+
+def terms_match(predicted: Column, expected: Column, threshold: float = 0.5) -> Column:
+    """Whether the term set ``predicted`` has enough of the terms of ``expected``."""
+    return (F.size(expected) > 0) & (overlap_ratio(predicted, expected) >= F.lit(threshold))
 
 
 def cause_matches(predicted: Column, expected: Column, threshold: float = 0.5) -> Column:
-    """Whether the text ``predicted`` names enough of the terms of ``expected``."""
-    wanted = term_set(expected)
-    given = (F.coalesce(F.length(predicted), F.lit(0)) > 0) & (
-        F.coalesce(F.length(expected), F.lit(0)) > 0
-    )
-    enough = overlap_ratio(term_set(predicted), wanted) >= F.lit(threshold)
-    return F.coalesce(given & (F.size(wanted) > 0) & enough, F.lit(False))
+    """The same for two texts; an empty text matches nothing."""
+    given = (F.length(predicted) > 0) & (F.length(expected) > 0)
+    enough = terms_match(term_set(predicted), term_set(expected), threshold)
+    return F.coalesce(given & enough, F.lit(False))

@@ -50,10 +50,6 @@ BARE_INSERT = (
 )
 COUNT_QUERY = r"(SELECT\s+COUNT\s*\(.*?\)\s+FROM\s+\w+.*?)(?:\n\n|\z)"
 
-# Standard JSON only: a call in single quotes is not a call.
-_JSON = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "corrupt"}
-
-
 def strip(text: Column) -> Column:
     """Cut white space at both ends."""
     return F.trim(text, F.lit(WHITE))
@@ -127,40 +123,22 @@ def unlabelled_check(text: Column, fixed_sql: Column) -> Column:
     return F.when(start > 0, query).otherwise(F.lit(""))
 
 
-def _call(json_text: Column, schema: str, name: str, args: str) -> Column:
-    """Struct of the object's name and arguments; NULL when it is cut off or no JSON."""
-    parsed = F.from_json(json_text, f"{schema}, corrupt string", _JSON)
-    whole = parsed.isNotNull() & parsed["corrupt"].isNull()
-    return F.when(
-        whole,
-        F.struct(
-            F.coalesce(parsed[name], F.lit("")).alias("name"),
-            F.coalesce(parsed[args], F.expr("cast(map() as map<string,string>)")).alias(
-                "arguments"
-            ),
-        ),
-    )
-
-
-def labelled_call(text: Column) -> Column:
-    """First ``TOOL_CALL: {...}`` as struct(name, arguments), else NULL."""
+def labelled_json(text: Column) -> Column:
+    """Text from the first brace after ``TOOL_CALL:`` on, NULL without one."""
     label = F.position(F.lit(TOOL_LABEL), text)
     rest = F.substr(text, label + F.lit(len(TOOL_LABEL)))
     brace = F.position(F.lit("{"), rest)
-    call = _call(F.substr(rest, brace), "tool string, args map<string,string>", "tool", "args")
-    return F.when((label > 0) & (brace > 0), call)
+    return F.when((label > 0) & (brace > 0), F.substr(rest, brace))
 
 
-def bare_call(text: Column) -> Column:
-    """Answer that is only JSON, fenced or not, as struct(name, arguments), else NULL."""
+def bare_json(text: Column) -> Column:
+    """An answer that is only JSON, fenced or not, NULL for any other."""
     body = strip(text)
-    unfenced = strip(F.substring_index(F.regexp_replace(body, r"(?dU)^```\w*\n?", ""), "```", 1))
-    body = F.when(F.startswith(body, F.lit("```")), unfenced).otherwise(body)
-    call = _call(body, "name string, arguments map<string,string>", "name", "arguments")
-    return F.when(F.startswith(body, F.lit("{")) & (call["name"] != ""), call)
+    fenced = F.substring_index(F.regexp_replace(body, r"(?dU)^```\w*\n?", ""), "```", 1)
+    unfenced = F.when(F.startswith(body, F.lit("```")), strip(fenced)).otherwise(body)
+    return F.when(F.startswith(unfenced, F.lit("{")), unfenced)
 
 
 def text_before_call(text: Column) -> Column:
-    """Reasoning before the first tool call; the whole answer when there is no call."""
-    before = strip(F.substring_index(text, TOOL_LABEL, 1))
-    return F.when(labelled_call(text).isNotNull(), before).otherwise(text)
+    """Reasoning before the first tool call."""
+    return strip(F.substring_index(text, TOOL_LABEL, 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipecheck.functions import text as X
@@ -12,6 +12,9 @@ SUCCESS = "success"
 MAX_STEPS = "max_steps_reached"
 FAILED = "error"
 
+# Standard JSON only: a call in single quotes is not a call.
+STRICT_JSON = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "corrupt"}
+
 FIELDS = ("root_cause", "fix_type", "fix_description", "fixed_sql", "verification_query")
 
 
@@ -31,7 +34,7 @@ def parse_reports(answers: DataFrame, text: str = "text") -> DataFrame:
         }
     )
 
-    def or_else(name: str, fallback) -> object:
+    def or_else(name: str, fallback: Column) -> Column:
         return F.when(F.col(name) == "", fallback).otherwise(F.col(name))
 
     filled = labelled.withColumns(
@@ -57,16 +60,50 @@ def parse_reports(answers: DataFrame, text: str = "text") -> DataFrame:
     return checked.withColumns({"status": F.lit(SUCCESS), **final})
 
 
+def _with_call(answers: DataFrame, json_text: Column, name: str, arguments: str) -> DataFrame:
+    """Add ``tool`` and ``arguments`` of a JSON object, NULL when there is no whole one.
+
+    What follows the object does not matter; an object that is cut off counts as none.
+    """
+    schema = f"{name} string, {arguments} map<string,string>, corrupt string"
+    # A column of its own, so that the JSON is parsed once.
+    parsed = answers.withColumn("_json", F.from_json(json_text, schema, STRICT_JSON))
+    whole = F.col("_json").isNotNull() & F.col("_json.corrupt").isNull()
+    none = F.expr("cast(map() as map<string,string>)")
+    return parsed.withColumns(
+        {
+            "tool": F.when(whole, F.coalesce(f"_json.{name}", F.lit(""))),
+            "arguments": F.when(whole, F.coalesce(f"_json.{arguments}", none)),
+        }
+    ).drop("_json")
+
+
+def labelled_calls(answers: DataFrame, text: str = "text") -> DataFrame:
+    """First ``TOOL_CALL: {...}`` of every answer, and the reasoning before it.
+
+    An answer without a call is all reasoning.
+    """
+    called = _with_call(answers, X.labelled_json(F.col(text)), "tool", "args")
+    before = F.when(F.col("tool").isNotNull(), X.text_before_call(F.col(text)))
+    return called.withColumn("reasoning", before.otherwise(F.col(text)))
+
+
+def bare_calls(answers: DataFrame, text: str = "text") -> DataFrame:
+    """Answers that are nothing but a call in JSON; a call needs a name."""
+    called = _with_call(answers, X.bare_json(F.col(text)), "name", "arguments")
+    named = F.col("tool") != ""
+    return called.withColumns(
+        {
+            "arguments": F.when(named, F.col("arguments")),
+            "reasoning": F.when(named, F.lit("")).otherwise(F.col(text)),
+            "tool": F.when(named, F.col("tool")),
+        }
+    )
+
+
 def tool_calls(answers: DataFrame, text: str = "text") -> DataFrame:
-    """Tool name, arguments and reasoning of every answer that calls a tool."""
-    content = F.col(text)
-    called = answers.withColumn("call", F.coalesce(X.labelled_call(content), X.bare_call(content)))
-    labelled = F.contains(content, F.lit(X.TOOL_LABEL))
-    before = F.when(labelled, X.strip(F.substring_index(content, X.TOOL_LABEL, 1))).otherwise("")
-    return (
-        called.filter(F.col("call").isNotNull())
-        .withColumn("tool", F.col("call.name"))
-        .withColumn("arguments", F.col("call.arguments"))
-        .withColumn("reasoning", before)
-        .drop("call")
+    """Calls of either form: labelled where the label is, bare elsewhere."""
+    labelled = F.contains(F.col(text), F.lit(X.TOOL_LABEL))
+    return labelled_calls(answers.filter(labelled), text).unionByName(
+        bare_calls(answers.filter(~labelled), text)
     )

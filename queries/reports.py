@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pipecheck.functions import text as X
-from pipecheck.operators.reports import parse_reports, tool_calls
+from pipecheck.operators.reports import bare_calls, labelled_calls, parse_reports, tool_calls
 from queries import inputs as I
 
 
@@ -58,28 +58,27 @@ def report_documents(spark, sf_dir):
 
 def all_tool_calls(spark, sf_dir):
     found = tool_calls(I.calls(spark, sf_dir))
-    return found.select("id", "tool", F.to_json("arguments").alias("arguments"), "reasoning")
+    return found.filter(F.col("tool").isNotNull()).select(
+        "id", "tool", F.to_json("arguments").alias("arguments"), "reasoning"
+    )
 
 
 def labelled_tool_calls(spark, sf_dir):
-    text = F.col("text")
-    called = I.calls(spark, sf_dir).withColumn("call", X.labelled_call(text))
-    args = F.col("call.arguments")
-    return called.select(
-        "id", F.col("call.name").alias("tool"), args["table_name"].alias("table_name"), args["engine"].alias("engine")
+    args = F.col("arguments")
+    return labelled_calls(I.calls(spark, sf_dir)).select(
+        "id", "tool", args["table_name"].alias("table_name"), args["engine"].alias("engine")
     )
 
 
 def bare_tool_calls(spark, sf_dir):
-    text = F.col("text")
-    called = I.calls(spark, sf_dir).withColumn("call", X.bare_call(text)).filter(F.col("call").isNotNull())
-    args = F.col("call.arguments")
-    return called.select("id", F.col("call.name").alias("tool"), args["query"].alias("query"), args["pattern"].alias("pattern"))
+    args = F.col("arguments")
+    return bare_calls(I.calls(spark, sf_dir)).select(
+        "id", "tool", args["query"].alias("query"), args["pattern"].alias("pattern")
+    )
 
 
 def text_before_call(spark, sf_dir):
-    text = F.col("text")
-    return I.calls(spark, sf_dir).select("id", X.text_before_call(text).alias("reasoning"))
+    return labelled_calls(I.calls(spark, sf_dir)).select("id", "reasoning")
 
 
 # The SQL checks read the fields back from the columns an answer was built from.
@@ -174,9 +173,9 @@ QUERIES = {
     ),
     "bare_tool_calls": (
         bare_tool_calls,
-        """SELECT event_id AS id, CASE event_id % 5 WHEN 1 THEN 'execute_sql' ELSE 'parse_logs' END AS tool,
+        """SELECT event_id AS id, CASE event_id % 5 WHEN 1 THEN 'execute_sql' WHEN 2 THEN 'parse_logs' END AS tool,
            CASE event_id % 5 WHEN 1 THEN concat('SELECT ', event_id) END AS query,
-           CASE event_id % 5 WHEN 2 THEN event_type END AS pattern FROM events WHERE event_id % 5 IN (1, 2)""",
+           CASE event_id % 5 WHEN 2 THEN event_type END AS pattern FROM events""",
     ),
     "text_before_call": (
         text_before_call,

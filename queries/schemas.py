@@ -267,12 +267,14 @@ def _load_tables(spark, sf_dir):
 def failure_kind(spark, sf_dir):
     """Kind of every load: findings per table pair from whole tables, joined to all loads."""
 
+    tables = _load_tables(spark, sf_dir)
+
     def per_pair(operator) -> DataFrame:
         frames = [
             operator(source, dest).select(
                 F.lit(pair[0]).alias("source_table"), F.lit(pair[1]).alias("dest_table"), "*"
             )
-            for pair, (source, dest) in _load_tables(spark, sf_dir).items()
+            for pair, (source, dest) in tables.items()
         ]
         return reduce(DataFrame.unionByName, frames)
 
@@ -282,16 +284,17 @@ def failure_kind(spark, sf_dir):
 
 def catalog_compare(spark, sf_dir):
     """Statuses for the table pairs of all loads from a column catalogue."""
-    tables = {name: df for (name, _), (df, _) in _load_tables(spark, sf_dir).items()}
+    pairs = _load_tables(spark, sf_dir)
+    tables = {name: df for (name, _), (df, _) in pairs.items()}
     dests = {
-        name: spark.createDataFrame([], dest) for (_, name), (_, dest) in _load_tables(spark, sf_dir).items()
-        if name not in tables
+        name: spark.createDataFrame([], dest) for (_, name), (_, dest) in pairs.items() if name not in tables
     }
     columns = spark.createDataFrame(
         catalog_rows({**tables, **dests}), "table_name string, ordinal int, column_name string, data_type string"
     )
-    status = schema.compare_catalogs(columns, I.loads(spark, sf_dir))
-    uses = I.loads(spark, sf_dir).groupBy("source_table", "dest_table").agg(F.count(F.lit(1)).alias("n_loads"))
+    loads = I.loads(spark, sf_dir)
+    status = schema.compare_catalogs(columns, loads)
+    uses = loads.groupBy("source_table", "dest_table").agg(F.count(F.lit(1)).alias("n_loads"))
     return status.join(uses, ["source_table", "dest_table"]).groupBy("source_table", "dest_table", "status", "n_loads").agg(
         F.count(F.lit(1)).alias("n_columns"), F.array_join(F.array_sort(F.collect_list("column_name")), ",").alias("columns")
     )

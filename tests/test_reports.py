@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipecheck.functions import text as X
-from pipecheck.operators.reports import parse_reports, tool_calls
+from pipecheck.operators.reports import labelled_calls, parse_reports, tool_calls
 
 
 @pytest.fixture
@@ -134,7 +134,7 @@ CALLS = {
 
 def test_tool_calls(frame):
     df = frame(list(CALLS.items()), "id int, text string")
-    rows = {r.id: (r.tool, r.arguments, r.reasoning) for r in tool_calls(df).collect()}
+    rows = {r.id: (r.tool, r.arguments, r.reasoning) for r in tool_calls(df).filter("tool IS NOT NULL").collect()}
     assert rows == {
         1: ("inspect_schema", {"table_name": "a}b", "q": 'say "x" {'}, "I look first."),
         2: ("execute_sql", {"query": "SELECT 1", "n": "3"}, ""),
@@ -143,7 +143,7 @@ def test_tool_calls(frame):
     }
 
 
-def test_text_before_call(column):
-    assert column(CALLS[1], X.text_before_call) == "I look first."
-    assert column(CALLS[4], X.text_before_call) == CALLS[4]
-    assert column(CALLS[5], X.text_before_call) == "no call"
+def test_reasoning_before_a_labelled_call(frame):
+    df = frame([(i, CALLS[i]) for i in (1, 4, 5)], "id int, text string")
+    rows = {r.id: r.reasoning for r in labelled_calls(df).collect()}
+    assert rows == {1: "I look first.", 4: CALLS[4], 5: "no call"}
