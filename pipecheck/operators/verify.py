@@ -80,7 +80,7 @@ def apply_repair(
     try:
         repaired.write.format("parquet").saveAsTable(staged)
         frame = spark.table(staged)
-        staged_rows = frame.count()
+        staged_rows = frame.count()  # from the files' footers
         verdict = verify(frame, check, min_rows).first()
         checked = verdict.cnt
         if check is None and min_rows is None:

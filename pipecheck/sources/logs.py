@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pipecheck.functions.text import strip
 # Fixed value: characters of a file that a preview shows.
 SHOWN_CHARACTERS = 2000
 
+# A block takes about 150 bytes in a join table.
+BROADCAST_BLOCKS = 500_000
+
 LINES = "path string, line_no bigint, line string"
 
 
@@ -28,6 +33,24 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
+def byte_size(setting: str) -> int:
+    """Value of a size setting such as '128m' in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", setting.strip().lower()).groups()
+    return int(number) * 1024 ** "bkmgt".index(unit or "b")
+
+
+def most_blocks(spark: SparkSession, paths: list[str]) -> int:
+    """Upper bound of the number of pieces in which Spark reads some files."""
+    sizes = spark.read.format("binaryFile").load(paths).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
+    )
+    files, size = sizes.first()
+    block = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    parallel = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    parallel = int(parallel) if parallel else spark.sparkContext.defaultParallelism
+    return files + parallel + size // block
+
+
 def read_log_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Lines of log files with their numbers, blank ends of each file cut.
 
@@ -63,6 +86,8 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     changed = F.raise_error(
         F.lit("file blocks changed between two scans; fix spark.sql.files.minPartitionNum")
     ).cast("bigint")
+    if most_blocks(spark, paths) <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     numbered = scan.join(blocks, ["path", "block"], "left").withColumn(
         "number", F.col("position") - F.coalesce(F.col("start"), changed) + F.col("offset")
     )

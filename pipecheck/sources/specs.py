@@ -42,9 +42,12 @@ def parse_specs(df: DataFrame, text: str) -> DataFrame:
     return parsed.withColumn("spec_error", spec_error("spec"))
 
 
-def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    """Descriptions from JSON files, valid or not; ``spec_error`` tells."""
-    specs = spark.read.schema(SPEC).json(path, multiLine=True)
+def read_specs(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Descriptions from JSON files, valid or not; ``spec_error`` tells.
+
+    One description per file, or one per line, which also splits large files.
+    """
+    specs = spark.read.schema(SPEC).json(path, multiLine=not per_line)
     return specs.withColumn("spec_error", spec_error())
 
 

@@ -68,7 +68,7 @@ def register_csv_tables(
         name = file_stem(path)
         df = read_csv(spark, path, schema=(schemas or {}).get(name), **options)
         if df.columns:
-            df.createOrReplaceTempView(name)
+            df.createOrReplaceTempView("`" + name.replace("`", "``") + "`")
             tables[name] = df
     return tables
 
@@ -89,10 +89,9 @@ def run_sql(spark: SparkSession, query: str, views: Mapping[str, DataFrame] | No
 def preview(df: DataFrame, rows: int = SHOWN_ROWS) -> DataFrame:
     """First rows of a result and whether there are more.
 
-    One row more than shown is fetched, never the whole result. The few rows meet
-    in one array so that each can say whether the result was cut.
+    One row more than shown is fetched, from as few partitions as it takes; the
+    rest of the result is never computed.
     """
-    head = df.limit(rows + 1).agg(F.collect_list(F.struct(*df.columns)).alias("head"))
-    return head.select(
-        F.inline(F.slice("head", 1, rows)), (F.size("head") > rows).alias("truncated")
-    ).select(*df.columns, "truncated")
+    head = df.limit(rows + 1).collect()
+    shown = df.sparkSession.createDataFrame(head[:rows], df.schema)
+    return shown.withColumn("truncated", F.lit(len(head) > rows))

@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables, with its SQL check."""
 
-from queries import joins, logs, reports, schemas, scores
+from queries import files, joins, logs, reports, schemas, scores
 
 REGISTRY = {
     **joins.QUERIES,
@@ -8,4 +8,5 @@ REGISTRY = {
     **logs.QUERIES,
     **reports.QUERIES,
     **scores.QUERIES,
+    **files.QUERIES,
 }
