@@ -9,7 +9,7 @@ from pipecheck.operators.verify import verify_query
 from pipecheck.session import shared_path
 from pipecheck.sources.logs import preview_files, read_log_lines
 from pipecheck.sources.specs import parse_specs, read_specs, valid
-from pipecheck.sources.tables import csv_files, file_stem, read_csv, register_csv_tables, run_sql
+from pipecheck.sources.tables import read_csv, register_csv_tables, run_sql
 from queries import inputs as I
 
 
@@ -39,14 +39,19 @@ def csv_line_breaks(spark, sf_dir):
     return back.select("doc_id", "lang", F.md5(F.regexp_replace("text", r"\r\n?", "\n")).alias("digest"))
 
 
-def csv_folder(spark, sf_dir):
-    """Every CSV file of a folder as a view; the views hold all rows between them."""
-    path = _csv(spark, I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "lineitem")
-    files = csv_files(spark, path)
-    schemas = {file_stem(f): "l_orderkey bigint, l_quantity double" for f in files}
-    names = register_csv_tables(spark, files, schemas, multiline=False)
-    everything = " UNION ALL ".join(f"SELECT * FROM `{name}`" for name in names)
-    return run_sql(spark, f"SELECT count(*) AS n_rows, sum(l_quantity) AS quantity FROM ({everything})")
+def csv_views(spark, sf_dir):
+    """Two tables as CSV, registered under their names and joined by SELECT text."""
+    folder = shared_path(spark, "load")
+    for name, df in (("orders_csv", I.orders(spark, sf_dir)), ("customers_csv", I.customers(spark, sf_dir))):
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    paths = [f"{folder}/orders_csv.csv", f"{folder}/customers_csv.csv"]
+    register_csv_tables(spark, paths, {"orders_csv": "order_id bigint, order_customer bigint, total double"})
+    return run_sql(
+        spark,
+        """SELECT c.segment, count(*) AS n_orders, round(sum(o.total), 2) AS total FROM orders_csv o
+           JOIN customers_csv c ON o.order_customer = CAST(replace(c.customer_id, 'CUST-', '') AS BIGINT)
+           GROUP BY c.segment""",
+    )
 
 
 def log_files(spark, sf_dir):
@@ -124,7 +129,11 @@ QUERIES = {
         csv_line_breaks,
         "SELECT doc_id, lang, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest FROM documents",
     ),
-    "csv_folder": (csv_folder, "SELECT count(*) AS n_rows, sum(l_quantity) AS quantity FROM lineitem"),
+    "csv_views": (
+        csv_views,
+        """SELECT c_mktsegment AS segment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+    ),
     "log_files": (
         log_files,
         f"""SELECT count(*) AS n_lines, count(*) AS n_in_place, CAST(sum(line_no) AS BIGINT) AS event_ids,
