@@ -79,6 +79,16 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(row.path for row in files.select("path").collect())
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, for costly work per row on a table with few pieces.
+
+    A table with at least as many pieces as there are cores is left as it is, so
+    nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def run_sql(spark: SparkSession, query: str, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """SELECT text over temp views (or over the given frames)."""
     for name, df in (views or {}).items():

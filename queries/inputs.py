@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pipecheck.sources.tables import spread
+
 # Destination schemas of the loads.
 def _schema(*columns: tuple[str, str]) -> T.StructType:
     schema = T.StructType()
@@ -38,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of texts, which cost much more to parse than to move."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 # Orders as a source whose amount column has another name and that has no region.
 SALES_SQL = """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_amount,
@@ -313,7 +320,8 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = styles[-1]
     for i, style in enumerate(styles[:-1]):
         body = F.when(F.col("event_id") % 6 == i, style).otherwise(body)
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), body.alias("text"))
+    events = texts(spark, sf_dir, "events", "event_id")
+    return events.select(F.col("event_id").alias("id"), body.alias("text"))
 
 
 # Answers that call a tool: labelled, bare, fenced, cut off, and none at all.
@@ -356,4 +364,5 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("No tool is needed for "), kind, F.lit(".")))
     )
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), body.alias("text"))
+    events = texts(spark, sf_dir, "events", "event_id")
+    return events.select(F.col("event_id").alias("id"), body.alias("text"))

@@ -53,7 +53,7 @@ def log_fields(spark, sf_dir):
 
 def split_log_texts(spark, sf_dir):
     """Documents as whole logs: their lines with numbers."""
-    documents = I.table(spark, sf_dir, "documents")
+    documents = I.texts(spark, sf_dir, "documents", "doc_id")
     lines = split_logs(documents.withColumn("path", F.col("doc_id").cast("string")))
     return lines.groupBy("path").agg(
         F.count(F.lit(1)).alias("n_lines"),

@@ -42,7 +42,7 @@ def report_fallback(spark, sf_dir):
 
 def strip_fences(spark, sf_dir):
     """Whole documents as fenced blocks, with a stray fence line inside."""
-    documents = I.table(spark, sf_dir, "documents")
+    documents = I.texts(spark, sf_dir, "documents", "doc_id")
     fenced = F.concat(F.lit("```sql\n"), F.col("text"), F.lit("\n~~~\nSELECT "), F.col("doc_id").cast("string"), F.lit("\n```\n"))
     return documents.select("doc_id", F.md5(X.strip_fences(fenced)).alias("digest"))
 
@@ -53,7 +53,7 @@ def report_all(spark, sf_dir):
 
 def report_documents(spark, sf_dir):
     """Long free texts: none holds a report, so each is its own cause."""
-    return parse_reports(I.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return parse_reports(I.texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")).drop("text")
 
 
 def all_tool_calls(spark, sf_dir):

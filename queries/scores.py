@@ -13,12 +13,14 @@ CASES = 50
 
 
 def term_sets(spark, sf_dir):
-    sets = F.array_join(F.array_sort(TS.term_set(F.col("text"))), " ")
-    return I.table(spark, sf_dir, "documents").select("doc_id", F.md5(sets).alias("digest"), F.size(TS.term_set(F.col("text"))).cast("bigint").alias("n_terms"))
+    documents = I.texts(spark, sf_dir, "documents", "doc_id")
+    terms = documents.select("doc_id", TS.term_set(F.col("text")).alias("terms"))
+    digest = F.md5(F.array_join(F.array_sort("terms"), " "))
+    return terms.select("doc_id", digest.alias("digest"), F.size("terms").cast("bigint").alias("n_terms"))
 
 
 def _pairs(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("predicted"), (F.col("doc_id") % CASES).alias("item_id"))
+    documents = I.texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("text").alias("predicted"), (F.col("doc_id") % CASES).alias("item_id"))
     items = I.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
     joined = documents.join(items, "item_id")
     return joined.withColumns({"have": TS.term_set(F.col("predicted")), "want": TS.term_set(F.col("expected"))})
@@ -42,7 +44,7 @@ def term_diff(spark, sf_dir):
 
 
 def overlap_documents_benchmark(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = I.texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     items = I.table(spark, sf_dir, "benchmark").select("item_id", "text")
     return scoring.match_all(documents, items, "doc_id", "item_id")
 
@@ -54,7 +56,7 @@ def _case_id(column: str) -> F.Column:
 def _reports(spark, sf_dir):
     """Documents as reports of four models; labels tell how their repair ran."""
     doc = F.col("doc_id")
-    return I.table(spark, sf_dir, "documents").select(
+    return I.texts(spark, sf_dir, "documents", "doc_id").select(
         _case_id("doc_id").alias("case_id"),
         F.concat(F.lit("model_"), (doc % 4).cast("string"), F.lit("_"), doc.cast("string")).alias("model"),
         F.when(doc % 19 == 0, "max_steps_reached").otherwise("success").alias("status"),
