@@ -18,6 +18,9 @@ FROM_TABLE = rf"FROM\s+(\w+)\s+(?:AS\s+)?(?!(?:{NOT_AN_ALIAS})\b)(\w+)"
 
 SIDES = ("left", "right")
 
+# Partners of hot keys are broadcast up to this number of rows.
+BROADCAST_ROWS = 1_000_000
+
 
 def sql_join_keys(df: DataFrame, sql: str = "sql") -> DataFrame:
     """Tables and columns of the first plain join condition; rows without one drop out."""
@@ -160,8 +163,8 @@ def repaired_join(
 
     The key is derived under the join, so it stays an equi-join: Spark broadcasts
     a small side by its size and splits skewed partitions at run time. Where
-    adaptive execution is off, ``hot_share`` joins the keys above that share of
-    the left rows apart from the rest, where their few partners are broadcast.
+    adaptive execution is off, ``hot_share`` looks for keys above that share of the
+    left rows and joins them apart from the rest, their counted partners broadcast.
     """
     common = (set(left.columns) & set(right.columns)) - {left_key, right_key}
     if common:
@@ -170,9 +173,14 @@ def repaired_join(
     keyed_right = right.withColumn("_key", plain_key(right, right_key, prefix)).drop(right_key)
     if hot_share is None:
         return keyed_left.join(keyed_right, "_key").drop("_key")
-    hot = F.broadcast(hot_keys(keyed_left.select("_key"), "_key", hot_share))
-    apart = [
-        keyed_left.join(hot, "_key", how).join(keyed_right.join(hot, "_key", how), "_key")
-        for how in ("left_semi", "left_anti")
-    ]
-    return apart[0].unionByName(apart[1]).drop("_key")
+    # Fewer than 1 / hot_share values.
+    hot = [row._key for row in hot_keys(keyed_left.select("_key"), "_key", hot_share).collect()]
+    if not hot:
+        return keyed_left.join(keyed_right, "_key").drop("_key")
+    is_hot = F.col("_key").isin(hot)
+    partners = keyed_right.filter(is_hot)
+    if partners.count() <= BROADCAST_ROWS:
+        partners = F.broadcast(partners)
+    apart = keyed_left.filter(is_hot).join(partners, "_key")
+    rest = keyed_left.filter(~is_hot).join(keyed_right.filter(~is_hot), "_key")
+    return apart.unionByName(rest).drop("_key")

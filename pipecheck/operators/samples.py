@@ -27,7 +27,8 @@ def smallest_distinct(values: DataFrame, value: str, shown: int = SHOWN_VALUES)
     lowest = values.filter(column.isNotNull()).groupBy(_bucket(value)).agg(F.min(value).alias("low"))
     head = lowest.select("low").orderBy("low").limit(shown)
     bound = head.agg(F.when(F.count("low") == shown, F.max("low"))).scalar()
-    kept = values.select(value).filter(column.isNull() | bound.isNull() | (column <= bound))
+    # NULL on either side keeps the row.
+    kept = values.select(value).filter(F.coalesce(column <= bound, F.lit(True)))
     return kept.distinct().orderBy(F.asc_nulls_first(value)).limit(shown)
 
 
@@ -51,7 +52,7 @@ def smallest_distinct_each(
     )
     # One row per column of a table at most.
     kept = values.join(F.broadcast(bounds), key, "left").filter(
-        F.col("bound").isNull() | F.col(value).isNull() | (F.col(value) <= F.col("bound"))
+        F.coalesce(F.col(value) <= F.col("bound"), F.lit(True))
     )
     ranked = Window.partitionBy(key).orderBy(F.asc_nulls_first(value))
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipecheck.functions.columns import each
-from pipecheck.functions.terms import cause_matches, term_set
+from pipecheck.functions.terms import term_set, terms_match
 from pipecheck.operators.reports import SUCCESS
 from pipecheck.operators.verify import count_holds
 from pipecheck.session import written
@@ -82,14 +82,19 @@ def case_results(
     known = expected.select(
         "case_id",
         "case_name",
-        F.col("root_cause").alias("expected_cause"),
+        term_set(F.col("root_cause")).alias("want"),
+        F.col("root_cause").isNotNull().alias("known"),
         F.col("verification_query").alias("expected_query"),
         "expected_row_count_min",
     )
-    joined = reports.join(known, "case_id", "left").join(checks, ["case_id", "model"], "left")
+    # Term sets are made once per text, before the joins.
+    scored = reports.withColumn("have", term_set(F.col("root_cause"))).withColumn(
+        "root_cause", F.length("root_cause") > 0
+    )
+    joined = scored.join(known, "case_id", "left").join(checks, ["case_id", "model"], "left")
     error = (
         F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error"))
-        .when(F.col("expected_cause").isNull(), F.lit("no expected fix"))
+        .when(F.col("known").isNull(), F.lit("no expected fix"))
         .otherwise(F.lit(""))
     )
     own = F.nullif(F.col("verification_query"), F.lit(""))
@@ -98,12 +103,12 @@ def case_results(
     checked = F.col("check_error").isNull() & F.coalesce(counted, F.lit(False))
     ran = (F.col("status") == SUCCESS) & (F.col("fixed_sql") != "") & F.col("fix_error").isNull()
     fine = F.col("error") == ""
+    matched = terms_match(F.col("have"), F.col("want"), threshold)
     return (
         joined.withColumn("error", error)
         .withColumn("check_query", query)
         .withColumn(
-            "root_cause_match",
-            fine & cause_matches(F.col("root_cause"), F.col("expected_cause"), threshold),
+            "root_cause_match", F.coalesce(fine & F.col("root_cause") & matched, F.lit(False))
         )
         .withColumn(
             "fix_valid",

@@ -41,9 +41,12 @@ def diagnose(loads: DataFrame, flags: DataFrame) -> DataFrame:
     source table; a load takes the findings of all its tables. The findings are
     one row per table pair, however many loads use it.
     """
-    found = loads.join(flags, ["source_table", "dest_table"], "left")
+    pair = ["source_table", "dest_table"]
+    # Decided before the join, so that the texts are not shuffled.
+    signs = loads.select("load_id", *pair, zero_row_join(F.col("log"), F.col("sql")).alias("zero_rows"))
+    found = signs.join(flags, pair, "left")
     one = found.groupBy("load_id").agg(
-        F.max(zero_row_join(F.col("log"), F.col("sql"))).alias("zero_rows"),
+        F.max("zero_rows").alias("zero_rows"),
         *[F.max(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in FLAGS],
     )
     kind = failure_kind(F.col("zero_rows"), *[F.col(f) for f in FLAGS])

@@ -154,7 +154,7 @@ def log_line() -> F.Column:
         .when(kind == "click", F.concat(F.lit("Échec of load "), event))
         .otherwise(F.concat(F.lit("Load "), event, F.lit(" took "), value, F.lit("s")))
     )
-    return F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.rpad(level, 7, " "), message)
+    return F.concat(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.rpad(level, 7, " "), message)
 
 
 def log_columns(events: DataFrame) -> DataFrame:

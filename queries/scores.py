@@ -119,7 +119,7 @@ def no_cases(spark, sf_dir):
 
 
 def iteration_delta(spark, sf_dir):
-    """Accuracies over the months of the orders' clerks, one iteration each."""
+    """Orders as results: a model per priority, an iteration per year."""
     orders = I.table(spark, sf_dir, "orders")
     results = orders.select(
         F.col("o_orderpriority").alias("model"), F.year("o_orderdate").alias("iteration"),
