@@ -28,10 +28,21 @@ SQL_NAMES = {
 DDL_WORDS = {
     "TEXT": "STRING",
     "VARCHAR": "STRING",
+    "CHAR": "STRING",
     "CHARACTER VARYING": "STRING",
     "INTEGER": "INT",
+    "INT2": "SMALLINT",
+    "INT4": "INT",
+    "INT8": "BIGINT",
     "REAL": "DOUBLE",
+    "FLOAT4": "FLOAT",
+    "FLOAT8": "DOUBLE",
     "DOUBLE PRECISION": "DOUBLE",
+    "BOOL": "BOOLEAN",
+    "BLOB": "BINARY",
+    "DATETIME": "TIMESTAMP_NTZ",
+    "TIMESTAMP": "TIMESTAMP_NTZ",
+    "TIMESTAMPTZ": "TIMESTAMP",
 }
 
 # Types that hold every value of the type on the left.
@@ -77,7 +88,12 @@ def is_widening(source_type: T.DataType, dest_type: T.DataType) -> bool:
 
 
 def spark_ddl(ddl: str) -> str:
-    """Rewrite foreign type words; a type word always follows a column name."""
+    """Rewrite foreign type words; a type word always follows a column name.
+
+    Keys are left out, as a parquet table does not enforce them.
+    """
+    ddl = re.sub(r",\s*(?:PRIMARY\s+KEY|UNIQUE)\s*\([^)]*\)", "", ddl, flags=re.IGNORECASE)
+    ddl = re.sub(r"\s+(?:PRIMARY\s+KEY|UNIQUE)\b", "", ddl, flags=re.IGNORECASE)
     words = "|".join(w.replace(" ", r"\s+") for w in sorted(DDL_WORDS, key=len, reverse=True))
     pattern = re.compile(
         rf"(?<=[\w`\"])(\s+)({words})\b(?:\s*\(\s*\d+\s*\))?(?=\s*(?:,|\)|;|$|NOT\b|NULL\b|DEFAULT\b|COMMENT\b))",

@@ -61,8 +61,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return cases.filter(F.col("engine").isin(*ENGINES))
 
 
-def read_expected_fixes(spark: SparkSession, path: str) -> DataFrame:
-    """Expected fixes, one file per case; the folder's name is the case id."""
+def read_expected_fixes(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Expected fixes: one file per case in a folder named after it, or one per line
+    with its ``case_id``."""
+    if per_line:
+        return spark.read.schema(f"case_id string, {EXPECTED_FIX}").json(path)
     fixes = spark.read.schema(EXPECTED_FIX).json(path, multiLine=True)
     case_id = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return fixes.select(case_id.alias("case_id"), "*")

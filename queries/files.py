@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from pipecheck.operators.verify import verify_query
 from pipecheck.session import shared_path
 from pipecheck.sources.logs import preview_files, read_log_lines
-from pipecheck.sources.specs import parse_specs, read_specs, valid
+from pipecheck.sources.specs import (
+    parse_specs,
+    read_expected_fixes,
+    read_manifest,
+    read_specs,
+    valid,
+)
 from pipecheck.sources.tables import read_csv, register_csv_tables, run_sql
 from queries import inputs as I
 
@@ -91,6 +97,27 @@ def spec_files(spark, sf_dir):
     )
 
 
+def case_files(spark, sf_dir):
+    """Benchmark items as cases: manifest and expected fixes written as JSON lines, read and joined."""
+    path, item = shared_path(spark, "cases"), F.col("item_id")
+    items = I.table(spark, sf_dir, "benchmark")
+    case_id = F.concat(F.lit("case_"), item.cast("string"))
+    engine = F.when(item % 5 == 4, "oracle").when(item % 2 == 0, "duckdb").otherwise("sqlite")
+    items.select(
+        case_id.alias("id"), F.concat(F.lit("Case "), item.cast("string")).alias("name"),
+        F.lit("easy").alias("difficulty"), F.lit("schema").alias("category"), engine.alias("engine"),
+    ).write.json(f"{path}/manifest")
+    items.select(
+        case_id.alias("case_id"), F.col("text").alias("root_cause"),
+        F.when(item % 4 == 0, item).alias("expected_row_count_min"),
+    ).write.json(f"{path}/fixes")
+    cases = read_manifest(spark, f"{path}/manifest").withColumnRenamed("id", "case_id")
+    fixes = read_expected_fixes(spark, f"{path}/fixes", per_line=True)
+    return cases.join(fixes, "case_id").select(
+        "case_id", "name", "engine", F.md5("root_cause").alias("digest"), "expected_row_count_min"
+    )
+
+
 def valid_spec_counts(spark, sf_dir):
     specs = parse_specs(I.spec_texts(spark, sf_dir), "spec_text")
     return specs.groupBy(F.coalesce("spec_error", F.lit("valid")).alias("state")).agg(F.count(F.lit(1)).alias("n_specs"))
@@ -150,6 +177,12 @@ QUERIES = {
             CASE event_type WHEN 'click' THEN 'orders,customers' WHEN 'view' THEN '' END AS tables, concat('dest_', event_id % 4) AS dest_table
             FROM events WHERE {SPEC_STATE} IS NULL""",
     ),
+    "case_files": (
+        case_files,
+        """SELECT concat('case_', item_id) AS case_id, concat('Case ', item_id) AS name,
+           CASE WHEN item_id % 2 = 0 THEN 'duckdb' ELSE 'sqlite' END AS engine, md5(text) AS digest,
+           CASE WHEN item_id % 4 = 0 THEN item_id END AS expected_row_count_min FROM benchmark WHERE item_id % 5 <> 4""",
+    ),
     "valid_spec_counts": (
         valid_spec_counts,
         f"SELECT coalesce({SPEC_STATE}, 'valid') AS state, count(*) AS n_specs FROM events GROUP BY 1",

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from pipecheck.operators import logs
 from pipecheck.streaming.logs import stream_log_lines, stream_matches, write_available

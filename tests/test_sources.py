@@ -77,6 +77,10 @@ def test_ddl_words():
     assert spark_ddl("id INTEGER, name TEXT, price REAL, code VARCHAR, c2 VARCHAR(10)") == (
         "id INT, name STRING, price DOUBLE, code STRING, c2 STRING"
     )
+    assert spark_ddl("id INTEGER PRIMARY KEY, at TIMESTAMP, n DECIMAL(10,2), UNIQUE (at, n)") == (
+        "id INT, at TIMESTAMP_NTZ, n DECIMAL(10,2)"
+    )
+    assert spark_ddl('CREATE TABLE t ("my id" INT8, unique_id CHAR(3))') == "CREATE TABLE t (`my id` BIGINT, unique_id STRING)"
     assert spark_ddl("text TEXT, real REAL NOT NULL") == "text STRING, real DOUBLE NOT NULL"
 
 
@@ -186,3 +190,6 @@ def test_manifest_and_expected_fixes(spark, tmp_path):
     (folder / "fix.json").write_text(json.dumps({"root_cause": "keys", "expected_row_count_min": 5}))
     df = specs.read_expected_fixes(spark, str(tmp_path / "fixes" / "*"))
     assert values(df, "case_id", "root_cause", "expected_row_count_min") == [("case_04", "keys", 5)]
+    (tmp_path / "fixes.json").write_text('{"case_id": "a", "root_cause": "x"}\n{"case_id": "b", "root_cause": "y"}\n')
+    lines = specs.read_expected_fixes(spark, str(tmp_path / "fixes.json"), per_line=True)
+    assert values(lines, "case_id", "root_cause") == [("a", "x"), ("b", "y")]
