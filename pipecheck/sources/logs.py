@@ -120,8 +120,49 @@ def preview_text(df: DataFrame, key: str, text: str, shown: int = SHOWN_CHARACTE
     )
 
 
-def preview_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Preview of every text file."""
-    files = spark.read.text(paths, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value")
-    return preview_text(files, "path", "value")
+def preview_files(
+    spark: SparkSession, paths: list[str] | str, shown: int = SHOWN_CHARACTERS
+) -> DataFrame:
+    """Preview of every text file, with line ends of any system read as newlines.
+
+    Large files stay split over tasks. The length is summed over lines; the first
+    characters can only be in lines that start in the first bytes of a file.
+    """
+    lines = (
+        spark.read.option("lineSep", "\n")
+        .text(paths)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_size").alias("size"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("position"),
+            F.octet_length("value").alias("bytes"),
+            F.regexp_replace(F.regexp_replace("value", "\r$", ""), "\r", "\n").alias("line"),
+        )
+    )
+    totals = lines.groupBy("path").agg(
+        F.max("size").alias("size"),
+        F.sum("bytes").alias("bytes"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(F.length("line")).alias("chars"),
+    )
+    # The last line has a newline too if the bytes of the file say so.
+    newlines = F.col("lines") - F.when(F.col("size") == F.col("bytes") + F.col("lines"), 0).otherwise(1)
+    totals = totals.select("path", (F.col("chars") + newlines).alias("total_chars"))
+    order = Window.partitionBy("path").orderBy("block", "position")
+    first = (
+        lines.filter(F.col("block") <= 4 * shown)
+        .select("path", "block", "position", F.substring("line", 1, shown).alias("line"))
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= shown)
+    )
+    # At most ``shown`` lines of ``shown`` characters per file.
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
+    head = first.groupBy("path").agg(F.array_join(ordered["line"], "\n").alias("head"))
+    whole = F.when(F.length("head") < F.col("total_chars"), F.concat("head", F.lit("\n"))).otherwise(F.col("head"))
+    return totals.join(head, "path").select(
+        "path",
+        F.substring(whole, 1, shown).alias("preview"),
+        "total_chars",
+        (F.col("total_chars") > shown).alias("truncated"),
+    )

@@ -153,12 +153,30 @@ def test_split_logs(frame):
     assert values(logs.split_logs(df)) == [("a", 1, "x"), ("a", 2, "y "), ("a", 3, "z")]
 
 
-def test_file_preview(spark, tmp_path):
-    big = write(tmp_path, "big.txt", "x" * 3000)
-    small = write(tmp_path, "small.txt", "Hello, World!")
-    rows = {r.total_chars: r for r in logs.preview_files(spark, [big, small]).collect()}
-    assert rows[3000].truncated and len(rows[3000].preview) == 2000
-    assert rows[13].preview == "Hello, World!" and not rows[13].truncated
+@pytest.mark.parametrize("split", [None, "64"])
+@pytest.mark.parametrize(
+    "name, text",
+    [
+        ("small", "Hello, World!"), ("big", "x" * 3000), ("exact", "y" * 1999 + "\n"), ("one_more", "y" * 2000 + "\n"),
+        ("lines", "".join(f"line {i} é\n" for i in range(900))), ("unended", "\n".join("abc" * (i % 50) for i in range(300))),
+        ("windows", "a\r\nb\r\n\r\nc"), ("blank", "\n\n\n"), ("old_mac", "a\rb\nc"), ("newlines", "\n" * 2500),
+    ],
+)
+def test_file_preview(spark, tmp_path, name, text, split):
+    path = write(tmp_path, f"{name}.txt", text)
+    other = write(tmp_path, "other.txt", "z")
+    want = text.replace("\r\n", "\n").replace("\r", "\n")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", split)
+    try:
+        rows = {r.path.rsplit("/", 1)[1]: r for r in logs.preview_files(spark, [path, other]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    row = rows[f"{name}.txt"]
+    assert (row.preview, row.total_chars, row.truncated) == (want[:2000], len(want), len(want) > 2000)
+    assert rows["other.txt"].preview == "z"
 
 
 SPEC = {
