@@ -34,17 +34,19 @@ def table_flags(comparisons: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def load_signs(loads: DataFrame) -> DataFrame:
+    """Loads with ``zero_rows`` in place of their ``sql`` and ``log`` texts."""
+    return loads.withColumn("zero_rows", zero_row_join(F.col("log"), F.col("sql"))).drop("sql", "log")
+
+
 def diagnose(loads: DataFrame, flags: DataFrame) -> DataFrame:
     """Failure kind of every load.
 
-    ``loads(load_id, source_table, dest_table, sql, log)`` has one row per load and
+    ``loads(load_id, source_table, dest_table, zero_rows)`` has one row per load and
     source table; a load takes the findings of all its tables. The findings are
     one row per table pair, however many loads use it.
     """
-    pair = ["source_table", "dest_table"]
-    # Decided before the join, so that the texts are not shuffled.
-    signs = loads.select("load_id", *pair, zero_row_join(F.col("log"), F.col("sql")).alias("zero_rows"))
-    found = signs.join(flags, pair, "left")
+    found = loads.join(flags, ["source_table", "dest_table"], "left")
     one = found.groupBy("load_id").agg(
         F.max("zero_rows").alias("zero_rows"),
         *[F.max(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in FLAGS],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipecheck.operators import align, quality, schema
-from pipecheck.plans.diagnose import catalog_rows, diagnose, table_flags
+from pipecheck.plans.diagnose import catalog_rows, diagnose, load_signs, table_flags
 from pipecheck.operators.classify import zero_row_join
 from pipecheck.operators.keys import sql_join_keys
 from pipecheck.sources.specs import parse_specs, valid
@@ -279,7 +279,7 @@ def failure_kind(spark, sf_dir):
         return reduce(DataFrame.unionByName, frames)
 
     flags = table_flags(per_pair(schema.compare_schemas), per_pair(align.rename_candidates))
-    return diagnose(I.loads(spark, sf_dir), flags)
+    return diagnose(load_signs(I.loads(spark, sf_dir)), flags)
 
 
 def catalog_compare(spark, sf_dir):
