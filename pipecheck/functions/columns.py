@@ -16,7 +16,9 @@ def named(name: str) -> Column:
 def rows_of(aggregate: DataFrame, rows: Sequence[Column], schema: str) -> DataFrame:
     """Turn a one-row aggregate into one row per struct, in one pass over the data."""
     if not rows:
-        return aggregate.sparkSession.createDataFrame([], schema)
+        # A filter that is never true lets Spark drop whatever builds on this.
+        none = F.lit(None).cast(f"struct<{schema}>").alias("row")
+        return aggregate.sparkSession.range(1).filter(F.lit(False)).select(none).select("row.*")
     return aggregate.select(F.inline(F.array(*[r.cast(f"struct<{schema}>") for r in rows])))
 
 
