@@ -1,8 +1,10 @@
 """The queries of this package: name -> (query, SQL or None)."""
 
-from pipecheck.llm import line_dedup, mixing
+from pipecheck.llm import decontamination, line_dedup, mixing, url_filter
 
 QUERIES = {
+    **decontamination.QUERIES,
     **mixing.QUERIES,
+    **url_filter.QUERIES,
     **line_dedup.QUERIES,
 }
