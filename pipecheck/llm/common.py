@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The ASCII letters and the six white-space characters of the contracts.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,6 +33,11 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """Schema of the frame with the fields of ``ddl`` behind it."""
+    return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def sql_lower(value: str) -> str:
     """ascii_lower in SQL."""
     return f"translate({value}, '{UPPER}', '{LOWER}')"

@@ -1,10 +1,12 @@
 """The queries of this package: name -> (query, SQL or None)."""
 
-from pipecheck.llm import decontamination, line_dedup, mixing, url_filter
+from pipecheck.llm import decontamination, language, line_dedup, mixing, toxicity, url_filter
 
 QUERIES = {
     **decontamination.QUERIES,
     **mixing.QUERIES,
     **url_filter.QUERIES,
+    **language.QUERIES,
     **line_dedup.QUERIES,
+    **toxicity.QUERIES,
 }
