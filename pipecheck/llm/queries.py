@@ -1,11 +1,13 @@
 """The queries of this package: name -> (query, SQL or None)."""
 
-from pipecheck.llm import decontamination, language, line_dedup, mixing, toxicity, url_filter
+from pipecheck.llm import decontamination, language, line_dedup, mixing, quality, toxicity, url_filter, warc
 
 QUERIES = {
     **decontamination.QUERIES,
     **mixing.QUERIES,
     **url_filter.QUERIES,
+    **warc.QUERIES,
+    **quality.QUERIES,
     **language.QUERIES,
     **line_dedup.QUERIES,
     **toxicity.QUERIES,
