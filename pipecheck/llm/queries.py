@@ -1,6 +1,6 @@
 """The queries of this package: name -> (query, SQL or None)."""
 
-from pipecheck.llm import decontamination, language, line_dedup, mixing, quality, toxicity, url_filter, warc
+from pipecheck.llm import decontamination, language, line_dedup, mixing, ngram_join, quality, toxicity, url_filter, warc
 
 QUERIES = {
     **decontamination.QUERIES,
@@ -10,5 +10,6 @@ QUERIES = {
     **quality.QUERIES,
     **language.QUERIES,
     **line_dedup.QUERIES,
+    **ngram_join.QUERIES,
     **toxicity.QUERIES,
 }
