@@ -1,9 +1,10 @@
 """The queries of this package: name -> (query, SQL or None)."""
 
-from pipecheck.llm import decontamination, language, line_dedup, mixing, ngram_join, quality, toxicity, url_filter, warc
+from pipecheck.llm import decontamination, extraction, language, line_dedup, mixing, ngram_join, quality, toxicity, url_filter, warc
 
 QUERIES = {
     **decontamination.QUERIES,
+    **extraction.QUERIES,
     **mixing.QUERIES,
     **url_filter.QUERIES,
     **warc.QUERIES,
