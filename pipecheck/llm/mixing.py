@@ -73,27 +73,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     copies join them by doc_id.
 
     Null or empty texts have size 0 and take 0 words. Null sources are one source, the last.
-    Rows that repeat a doc_id are separate documents of equal rank order; each row gets the
-    copies of the rows with its doc_id, source and size, shared out evenly by rank. Clashing columns
-    are replaced. No rows give no rows.
+    Rows with the same doc_id, source and size rank side by side and all get the copies of the luckiest of them.
+    Clashing columns are replaced. No rows give no rows.
     """
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    taken = document_copies(sized, weights, most, seed)
     outputs = ["size", "source_size", "target", "copies", "taken"]
-    rest = without(docs, [*outputs, "of_doc", "of_source", "of_size", "nth"])
-    # The nth of equal rows meets the nth of equal copies.
-    again = Window.partitionBy("doc_id", "source", n_words(F.col("text"))).orderBy(F.lit(0))
-    right = taken.select(
-        F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), *outputs[1:],
-        F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")).alias("of_nth"),
+    rest = without(docs, [*outputs, "of_doc", "of_source", "of_size"])
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    right = (
+        document_copies(sized, weights, most, seed)
+        .groupBy(F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "source_size", "target")
+        .agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
     )
-    numbered = rest.withColumn("nth", F.row_number().over(again)).withColumn("size", n_words(F.col("text")))
-    met = numbered.join(
+    left = rest.withColumn("size", n_words(F.col("text")))
+    met = left.join(
         right,
-        numbered["doc_id"].eqNullSafe(right["of_doc"])
-        & numbered["source"].eqNullSafe(right["of_source"])
-        & (numbered["size"] == right["of_size"])
-        & (numbered["nth"] == right["of_nth"]),
+        F.col("doc_id").eqNullSafe(F.col("of_doc")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")),
     )
     return met.select(*(F.col(f"`{c}`") for c in rest.columns), *outputs)
 
