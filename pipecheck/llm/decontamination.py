@@ -98,8 +98,7 @@ def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
     done = known.filter(F.size("rest") == 0).select("doc_id", "first", "start", "size")
     open_ = known.filter(F.size("rest") > 0).select("doc_id", "first", "start", "size", F.explode("rest").alias("t"))
     wanted = open_.select("doc_id", "first", "start", "size", (F.col("start") + F.col("t.off")).alias("pos"), F.col("t.term").alias("term"))
-    in_docs = lists.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    met = wanted.join(in_docs, ["doc_id", "pos", "term"], "left_semi")
+    met = wanted.join(lists, ["doc_id", "pos", "term"], "left_semi")
     whole = met.groupBy("doc_id", "first", "start", "size").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("size") - 2)
     return done.unionByName(whole.drop("n"))
 
