@@ -39,8 +39,10 @@ SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 160, 40000, 120
 EPOCHS, BATCH, RATE = 14, 32, 0.01
 
 # A comment; a tag with its attributes, where > may stand in quotes; anything else in tag brackets.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z!?/][^>]*>", re.S)
-_CUT_OFF = re.compile(r"<[a-zA-Z!?/][^<>]*\Z")
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,256}+)>|<[a-zA-Z!?/][^<>]*+>", re.S
+)
+_CUT_OFF = re.compile(r"<[a-zA-Z!?/][^<>]*+\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _PART = re.compile(r"[a-z]+")
 
