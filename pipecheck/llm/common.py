@@ -27,6 +27,20 @@ def hash128(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(F.lit(7), value)]
 
 
+def hash_cut(df: DataFrame, key: str, rows: int, most: int) -> DataFrame:
+    """About eight times ``most`` of the ``rows`` rows of a frame, by the hash of ``key``; all if there are fewer.
+
+    So what then looks for the rows of the smallest hash gets few rows from each task, however many tasks there are.
+    """
+    share = min(1.0, 8 * most / max(rows, 1))
+    return df.filter(hash_order(key) <= int(share * (1 << 40))) if share < 1 else df
+
+
+def hash_order(key: str) -> Column:
+    """Order of a sample: the rows that hash_cut leaves come first."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40))
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """The frame without columns that clash with the names of a result."""
     taken = {n.lower() for n in names}

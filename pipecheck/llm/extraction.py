@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table, with_fields, without
+from pipecheck.llm.common import hash_cut, hash_order, table, with_fields, without
 
 # How HTML tags behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -325,8 +325,9 @@ def training_pages(blocks: list[list[tuple[Path, str, float]]], seed: int = 1) -
 
 def fit_labeller(pages: DataFrame) -> Labeller | None:
     """A labeller trained on SAMPLE_PAGES of ``pages`` (html); none if no sample page has an article or main element."""
-    short = pages.select("html").filter(F.length("html").between(1, SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
-    sample = short.distinct().orderBy(F.xxhash64("html")).limit(SAMPLE_PAGES).collect()  # the bound of the sample
+    cut = hash_cut(pages.select("html"), "html", pages.count(), SAMPLE_PAGES)
+    short = cut.filter(F.length("html").between(1, SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
+    sample = short.distinct().orderBy(hash_order("html")).limit(SAMPLE_PAGES).collect()  # the bound of the sample
     blocks = [b for b in (leaves(r["html"]) for r in sample) if len(b) <= SAMPLE_BLOCKS and any(is_main(path) for path, _, _ in b)]
     if not blocks:
         return None
