@@ -28,6 +28,16 @@ def key_prefix(column: Column) -> Column:
     return F.regexp_extract(column.cast("string"), r"^(.*?)[0-9]+$", 1)
 
 
+def text_key(column: Column, prefix: str) -> Column:
+    """Key as text without its prefix and white space; numbers without leading zeros.
+
+    A double is a key only if it is a whole number that a bigint holds.
+    """
+    text = F.trim(F.replace(column.cast("string"), F.lit(prefix), F.lit("")))
+    number = text.try_cast("bigint").cast("string")
+    return F.when(text.rlike("^[+-]?[0-9]+$"), F.coalesce(number, text)).when(text != "", text)
+
+
 def strip_prefix(column: Column, prefix: str, data_type: str = "bigint") -> Column:
     """Key without its prefix as a number; NULL where no number is left."""
     text = F.replace(column.cast("string"), F.lit(prefix), F.lit(""))

@@ -13,7 +13,7 @@ from pipecheck.functions.types import sql_name, uncastable
 
 PAIR = (
     "dest_column string, dest_type string, source_column string, source_type string, "
-    "n_rows bigint, n_uncastable bigint"
+    "n_rows bigint, n_uncastable bigint, shared_parts bigint"
 )
 
 
@@ -25,18 +25,29 @@ def extra_columns(source: DataFrame, dest: T.StructType) -> list[T.StructField]:
     return [f for f in source.schema if f.name not in dest.names]
 
 
-def _tokens(name: str) -> Column:
+def _tokens(name: str) -> set[str]:
     """Parts of a column name; single letters say nothing."""
-    return F.filter(F.split(F.lower(F.col(name)), "_"), lambda t: F.length(t) > 1)
+    return {t for t in name.lower().split("_") if len(t) > 1}
+
+
+def _named_alike(source: DataFrame, dest: T.StructType) -> list[tuple[T.StructField, T.StructField]]:
+    """Absent destination columns and source-only columns that share a part of their names."""
+    return [
+        (d, s)
+        for d in absent_columns(source, dest)
+        for s in extra_columns(source, dest)
+        if _tokens(d.name) & _tokens(s.name)
+    ]
 
 
 def rename_candidates(source: DataFrame, dest: T.StructType) -> DataFrame:
     """Source-only columns that may be an absent destination column, ranked.
 
-    A candidate shares a part of its name. More shared parts win, then values
-    that all cast, then the closer name. Equal firsts are marked as a tie.
+    A candidate shares a part of its name; other pairs are left out before anything is
+    counted. More shared parts win, then values that all cast, then the closer name. Equal
+    firsts are marked as a tie.
     """
-    pairs = [(d, s) for d in absent_columns(source, dest) for s in extra_columns(source, dest)]
+    pairs = _named_alike(source, dest)
     bad = [
         F.count_if(uncastable(named(s.name), s.dataType, d.dataType)).alias(f"bad{i}")
         for i, (d, s) in enumerate(pairs)
@@ -49,19 +60,17 @@ def rename_candidates(source: DataFrame, dest: T.StructType) -> DataFrame:
             F.lit(sql_name(s.dataType)),
             F.col("n"),
             F.col(f"bad{i}"),
+            F.lit(len(_tokens(d.name) & _tokens(s.name))),
         )
         for i, (d, s) in enumerate(pairs)
     ]
     counted = source.agg(F.count(F.lit(1)).alias("n"), *bad)
-    shared = F.size(F.array_intersect(_tokens("dest_column"), _tokens("source_column")))
     best = Window.partitionBy("dest_column").orderBy(
         F.desc("shared_parts"), F.desc("all_cast"), F.asc("name_distance")
     )
     same = Window.partitionBy("dest_column", "rank")
     return (
         rows_of(counted, rows, PAIR)
-        .withColumn("shared_parts", shared.cast("bigint"))
-        .filter(F.col("shared_parts") > 0)
         .withColumn("all_cast", F.col("n_uncastable") == 0)
         .withColumn("name_distance", F.levenshtein("dest_column", "source_column").cast("bigint"))
         .withColumn("rank", F.rank().over(best).cast("bigint"))
@@ -71,13 +80,14 @@ def rename_candidates(source: DataFrame, dest: T.StructType) -> DataFrame:
 
 def missing_columns(source: DataFrame, dest: T.StructType) -> DataFrame:
     """Absent destination columns that no source column can stand for."""
+    known = {d.name for d, _ in _named_alike(source, dest)}
     rows = [
         F.struct(F.lit(f.name), F.lit(sql_name(f.dataType)), F.col("n"))
         for f in absent_columns(source, dest)
+        if f.name not in known
     ]
     counted = source.agg(F.count(F.lit(1)).alias("n"))
-    absent = rows_of(counted, rows, "dest_column string, dest_type string, n_rows bigint")
-    return absent.join(rename_candidates(source, dest), "dest_column", "left_anti")
+    return rows_of(counted, rows, "dest_column string, dest_type string, n_rows bigint")
 
 
 def align_to_schema(

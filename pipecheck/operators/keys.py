@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipecheck.functions.columns import named
-from pipecheck.functions.shapes import key_prefix, key_shape, strip_prefix
+from pipecheck.functions.shapes import key_prefix, key_shape, strip_prefix, text_key
 from pipecheck.operators.samples import SHOWN_VALUES
 from pipecheck.operators.schema import sample_values
 
@@ -18,8 +18,8 @@ FROM_TABLE = rf"FROM\s+(\w+)\s+(?:AS\s+)?(?!(?:{NOT_AN_ALIAS})\b)(\w+)"
 
 SIDES = ("left", "right")
 
-# Partners of hot keys are broadcast up to this number of rows.
-BROADCAST_ROWS = 1_000_000
+# The rows of a hot key are dealt over so many tasks.
+SALTS = 64
 
 
 def sql_join_keys(df: DataFrame, sql: str = "sql") -> DataFrame:
@@ -95,12 +95,27 @@ def key_prefixes(left: DataFrame, left_key: str, right: DataFrame, right_key: st
 
 
 def plain_key(df: DataFrame, key: str, prefix: str) -> Column:
-    """Key as a number: text keys lose the prefix, numbers are only cast."""
-    if isinstance(df.schema[key].dataType, T.StringType):
+    """Key as a number: text keys lose the prefix, whole numbers are only cast.
+
+    A number with a fraction, or beyond a bigint, is no key and becomes NULL.
+    """
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.StringType):
         return strip_prefix(named(key), prefix)
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        whole = named(key).try_cast("bigint")
+        return F.when(whole.cast(kind) == named(key), whole)
     return named(key).cast("bigint")
 
 
+def common_keys(left: DataFrame, left_key: str, right: DataFrame, right_key: str, prefix: str) -> tuple[Column, Column]:
+    """Both keys in one form: numbers where a side is numeric, else texts without the prefix."""
+    both_text = all(isinstance(df.schema[k].dataType, T.StringType) for df, k in ((left, left_key), (right, right_key)))
+    if both_text:
+        return text_key(named(left_key), prefix), text_key(named(right_key), prefix)
+    return plain_key(left, left_key, prefix), plain_key(right, right_key, prefix)
+
+
 def match_rate(
     left: DataFrame, left_key: str, right: DataFrame, right_key: str, prefix: str
 ) -> DataFrame:
@@ -159,28 +174,29 @@ def repaired_join(
     prefix: str,
     hot_share: float | None = None,
 ) -> DataFrame:
-    """Inner join on keys without their prefix; rows without a number have no partner.
+    """Inner join on keys without their prefix; rows without a key have no partner.
 
-    The key is derived under the join, so it stays an equi-join: Spark broadcasts
+    Two text keys meet as text, so keys with letters have partners too; where a side is numeric, only
+    numbers meet. The key is derived under the join, so it stays an equi-join: Spark broadcasts
     a small side by its size and splits skewed partitions at run time. Where
-    adaptive execution is off, ``hot_share`` looks for keys above that share of the
-    left rows and joins them apart from the rest, their counted partners broadcast.
+    adaptive execution is off, ``hot_share`` (above 0, at most 1) looks for keys above that share of the
+    left rows. Their left rows are dealt over SALTS tasks and their partners repeated for each.
     """
     common = (set(left.columns) & set(right.columns)) - {left_key, right_key}
     if common:
         raise ValueError(f"both sides have {sorted(common)}")
-    keyed_left = left.withColumn("_key", plain_key(left, left_key, prefix))
-    keyed_right = right.withColumn("_key", plain_key(right, right_key, prefix)).drop(right_key)
-    if hot_share is None:
-        return keyed_left.join(keyed_right, "_key").drop("_key")
+    if hot_share is not None and not 0.0001 <= hot_share <= 1:
+        raise ValueError("hot_share must be between 0.0001 and 1")
+    own, other = common_keys(left, left_key, right, right_key, prefix)
+    keyed_left = left.withColumn("_key", own)
+    keyed_right = right.withColumn("_key", other).drop(right_key)
     # Fewer than 1 / hot_share values.
-    hot = [row._key for row in hot_keys(keyed_left.select("_key"), "_key", hot_share).collect()]
+    hot = [row._key for row in hot_keys(keyed_left.select("_key"), "_key", hot_share).collect()] if hot_share else []
     if not hot:
         return keyed_left.join(keyed_right, "_key").drop("_key")
     is_hot = F.col("_key").isin(hot)
-    partners = keyed_right.filter(is_hot)
-    if partners.count() <= BROADCAST_ROWS:
-        partners = F.broadcast(partners)
-    apart = keyed_left.filter(is_hot).join(partners, "_key")
-    rest = keyed_left.filter(~is_hot).join(keyed_right.filter(~is_hot), "_key")
-    return apart.unionByName(rest).drop("_key")
+    salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_left = keyed_left.withColumn("_salt", salt.cast("int"))
+    salted_right = keyed_right.withColumn("_salt", F.explode(salts))
+    return salted_left.join(salted_right, ["_key", "_salt"]).drop("_key", "_salt")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipecheck.functions.loglines import SHOWN_LINES, line_fields, matches
+from pipecheck.sources.logs import without_scheme
 
 # Status of a log.
 EMPTY = "empty"
@@ -52,7 +53,10 @@ def first_matches(lines: DataFrame, pattern: str = "", shown: int = SHOWN_LINES)
 
 
 def log_status(paths: DataFrame, lines: DataFrame, pattern: str = "") -> DataFrame:
-    """Status of every log in ``paths``; a log without lines appears as empty."""
+    """Status of every log in ``paths``; a log without lines appears as empty.
+
+    Paths meet those of the lines without scheme and host, as file scans report both.
+    """
     logs = paths.select("path").distinct()
     if pattern:
         problem = pattern_error(lines.sparkSession, pattern)
@@ -62,11 +66,12 @@ def log_status(paths: DataFrame, lines: DataFrame, pattern: str = "") -> DataFra
                 "path", none.alias("n_lines"), none.alias("n_matches"),
                 F.lit(BAD_PATTERN).alias("status"), F.lit(problem).alias("error"),
             )
-    counts = lines.groupBy("path").agg(
+    counts = lines.groupBy(without_scheme(F.col("path")).alias("_file")).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(matches(F.col("line"), pattern)).alias("n_matches"),
     )
-    filled = logs.join(counts, "path", "left").na.fill(0, ["n_lines", "n_matches"])
+    met = logs.join(counts, without_scheme(F.col("path")) == F.col("_file"), "left").drop("_file")
+    filled = met.na.fill(0, ["n_lines", "n_matches"])
     status = (
         F.when(F.col("n_lines") == 0, EMPTY).when(F.col("n_matches") == 0, NO_MATCH).otherwise(MATCHED)
     )

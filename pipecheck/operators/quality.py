@@ -56,8 +56,12 @@ def uncastable_shapes(df: DataFrame, targets: Targets, runs: bool = False) -> Da
         for column, dest_type in targets.items()
     ]
     values = df.select(F.inline(F.array(*offenders))).filter(F.col("column_name").isNotNull())
-    return values.groupBy("column_name", value_shape(F.col("value"), runs).alias("shape")).agg(
-        F.count(F.lit(1)).alias("n_values"), F.min("value").alias("example")
+    # Spark sorts for a minimum of texts: it is taken of the few different values of a shape and column only.
+    shaped = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "shape", value_shape(F.col("value"), runs)
+    )
+    return shaped.groupBy("column_name", "shape").agg(
+        F.sum("n").alias("n_values"), F.min("value").alias("example")
     )
 
 
@@ -83,6 +87,17 @@ def clean_cast(
     return F.when(~F.trim(column).isin(*null_tokens), cast)
 
 
+def loses_value(
+    column: Column,
+    dest_type: T.DataType,
+    null_tokens: Sequence[str] = NULL_TOKENS,
+    symbols: Sequence[str] = SYMBOLS,
+) -> Column:
+    """Whether a clean cast makes NULL of a value that is no null token; never NULL itself."""
+    clean = clean_cast(column, dest_type, null_tokens, symbols)
+    return column.isNotNull() & ~F.coalesce(F.trim(column).isin(*null_tokens), F.lit(True)) & clean.isNull()
+
+
 def clean_report(
     df: DataFrame,
     targets: Targets,
@@ -100,7 +115,7 @@ def clean_report(
             "kept": clean.isNotNull() & ~touched,
             "cleaned": clean.isNotNull() & touched,
             "nulled": token,
-            "lost": value.isNotNull() & ~token & clean.isNull(),
+            "lost": loses_value(value, dest_type, null_tokens, symbols),
         }
         counts += [F.count_if(c).alias(f"{name}{i}") for name, c in parts.items()]
         rows.append(F.struct(F.lit(column), *[F.col(f"{name}{i}") for name in parts]))

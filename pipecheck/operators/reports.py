@@ -60,20 +60,25 @@ def parse_reports(answers: DataFrame, text: str = "text") -> DataFrame:
     return checked.withColumns({"status": F.lit(SUCCESS), **final})
 
 
-def _with_call(answers: DataFrame, json_text: Column, name: str, arguments: str) -> DataFrame:
+def _with_call(answers: DataFrame, json_text: Column, name: Column, arguments: Column) -> DataFrame:
     """Add ``tool`` and ``arguments`` of a JSON object, NULL when there is no whole one.
 
     What follows the object does not matter; an object that is cut off counts as none.
+    Arguments that are no object themselves stay, as text under the key ``value``.
+    ``name`` and ``arguments`` are columns over ``_json``.
     """
-    schema = f"{name} string, {arguments} map<string,string>, corrupt string"
+    schema = "tool string, args string, name string, arguments string, corrupt string"
     # A column of its own, so that the JSON is parsed once.
     parsed = answers.withColumn("_json", F.from_json(json_text, schema, STRICT_JSON))
     whole = F.col("_json").isNotNull() & F.col("_json.corrupt").isNull()
     none = F.expr("cast(map() as map<string,string>)")
+    as_map = F.from_json(arguments, "map<string,string>", {"allowSingleQuotes": "false"})
+    as_text = F.when(arguments.isNotNull(), F.create_map(F.lit("value"), arguments))
+    held = F.when(F.ltrim(arguments).startswith("{"), as_map).otherwise(as_text)
     return parsed.withColumns(
         {
-            "tool": F.when(whole, F.coalesce(f"_json.{name}", F.lit(""))),
-            "arguments": F.when(whole, F.coalesce(f"_json.{arguments}", none)),
+            "tool": F.when(whole, F.coalesce(name, F.lit(""))),
+            "arguments": F.when(whole, F.coalesce(held, none)),
         }
     ).drop("_json")
 
@@ -83,14 +88,14 @@ def labelled_calls(answers: DataFrame, text: str = "text") -> DataFrame:
 
     An answer without a call is all reasoning.
     """
-    called = _with_call(answers, X.labelled_json(F.col(text)), "tool", "args")
+    called = _with_call(answers, X.labelled_json(F.col(text)), F.col("_json.tool"), F.col("_json.args"))
     before = F.when(F.col("tool").isNotNull(), X.text_before_call(F.col(text)))
     return called.withColumn("reasoning", before.otherwise(F.col(text)))
 
 
 def bare_calls(answers: DataFrame, text: str = "text") -> DataFrame:
     """Answers that are nothing but a call in JSON; a call needs a name."""
-    called = _with_call(answers, X.bare_json(F.col(text)), "name", "arguments")
+    called = _with_call(answers, X.bare_json(F.col(text)), F.col("_json.name"), F.col("_json.arguments"))
     named = F.col("tool") != ""
     return called.withColumns(
         {
@@ -102,8 +107,26 @@ def bare_calls(answers: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tool_calls(answers: DataFrame, text: str = "text") -> DataFrame:
-    """Calls of either form: labelled where the label is, bare elsewhere."""
-    labelled = F.contains(F.col(text), F.lit(X.TOOL_LABEL))
-    return labelled_calls(answers.filter(labelled), text).unionByName(
-        bare_calls(answers.filter(~labelled), text)
-    )
+    """Calls of either form in one pass: labelled where the label is, bare elsewhere.
+
+    An answer that is NULL has neither a call nor reasoning and keeps its row.
+    """
+    labelled = F.coalesce(F.contains(F.col(text), F.lit(X.TOOL_LABEL)), F.lit(False))
+    marked = answers.withColumn("_labelled", labelled)
+    form = F.col("_labelled")
+    json_text = F.when(form, X.labelled_json(F.col(text))).otherwise(X.bare_json(F.col(text)))
+
+    def either(of_labelled: str, of_bare: str) -> Column:
+        return F.when(form, F.col(of_labelled)).otherwise(F.col(of_bare))
+
+    called = _with_call(marked, json_text, either("_json.tool", "_json.name"), either("_json.args", "_json.arguments"))
+    # A bare call needs a name, a labelled one does not.
+    call = F.col("tool").isNotNull() & (form | (F.col("tool") != ""))
+    before = F.when(form, X.text_before_call(F.col(text))).otherwise(F.lit(""))
+    return called.withColumns(
+        {
+            "arguments": F.when(call, F.col("arguments")),
+            "reasoning": F.when(call, before).otherwise(F.col(text)),
+            "tool": F.when(call, F.col("tool")),
+        }
+    ).drop("_labelled")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pipecheck.operators.align import align_to_schema
 from pipecheck.session import staging_table
 from pipecheck.sources.sink import append
 
@@ -15,9 +18,18 @@ VERIFIED = "verified"
 FAILED = "failed"
 UNVERIFIED = "unverified"
 ERROR = "error"
+REFUSED = "refused"
+
+# Column of a repaired frame with the number of values that its casts lose in a row.
+LOST = "_lost_values"
+
+# Fixed value: INSERT text with a SELECT; parts are table, columns, query.
+INSERT = re.compile(r"^\s*INSERT\s+INTO\s+([\w.]+)\s*(?:\(([^)]*)\))?\s*((?:SELECT|WITH)\b.*)$", re.IGNORECASE | re.DOTALL)
+
+CHECKS = "case_id string, model string, fix_error string, check_error string, cnt bigint"
 
 APPLIED = (
-    "status string, staged_rows bigint, checked_rows bigint, appended_rows bigint, "
+    "status string, staged_rows bigint, checked_rows bigint, lost_values bigint, appended_rows bigint, "
     "table_checked_rows bigint, error string"
 )
 
@@ -63,10 +75,17 @@ def verify_query(spark: SparkSession, query: str, min_rows: int | None = None) -
 
 
 def apply_repair(
-    repaired: DataFrame, table: str, check: Column | None = None, min_rows: int | None = None
+    repaired: DataFrame,
+    table: str,
+    check: Column | None = None,
+    min_rows: int | None = None,
+    most_lost: int = 0,
 ) -> DataFrame:
     """Dry run, append and check again; one row that says what happened.
 
+    A repair that loses more than ``most_lost`` values (the sum of the column LOST, where
+    there is one) is refused: nothing is appended.
+
     The repaired frame is computed once, into a staging table. The check runs on
     that, and only when it passes are the staged rows appended. Without a check
     the rows are appended and the outcome is ``unverified``. A repair that fails
@@ -75,15 +94,20 @@ def apply_repair(
     spark = repaired.sparkSession
     staged = staging_table(spark, "repair")
     status, error = FAILED, None
-    staged_rows = checked = after = None
+    staged_rows = checked = lost = after = None
     appended = 0
     try:
         repaired.write.format("parquet").saveAsTable(staged)
         frame = spark.table(staged)
         staged_rows = frame.count()  # from the files' footers
+        if LOST in frame.columns:
+            lost = frame.agg(F.coalesce(F.sum(LOST), F.lit(0))).first()[0]
+            frame = frame.drop(LOST)
         verdict = verify(frame, check, min_rows).first()
         checked = verdict.cnt
-        if check is None and min_rows is None:
+        if lost and lost > most_lost:
+            status = REFUSED
+        elif check is None and min_rows is None:
             appended, status = append(frame, table), UNVERIFIED
         elif verdict.ok:
             appended = append(frame, table)
@@ -93,5 +117,57 @@ def apply_repair(
         status, error = ERROR, str(problem)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    row = (status, staged_rows, checked, appended, after, error)
+    row = (status, staged_rows, checked, lost, appended, after, error)
     return spark.createDataFrame([row], APPLIED)
+
+
+def run_insert(spark: SparkSession, text: str) -> int:
+    """Run INSERT ... SELECT text and return the number of rows it adds.
+
+    Columns go by the names in the text, or by position without them; those it does not
+    name become NULL.
+    """
+    found = INSERT.match(text.rstrip().rstrip(";"))
+    if not found:
+        raise ValueError("no INSERT with a SELECT")
+    table, listed, query = found.groups()
+    dest = spark.table(table).schema
+    names = [c.strip().strip('`"') for c in listed.split(",")] if listed else dest.names
+    result = spark.sql(query)
+    if len(result.columns) != len(names):
+        raise ValueError(f"{len(result.columns)} values for {len(names)} columns")
+    unnamed = {f.name: None for f in dest if f.name not in names}
+    return append(align_to_schema(result.toDF(*names), dest, defaults=unnamed), table)
+
+
+def score_fixes(spark: SparkSession, reports: DataFrame, table: str, dest: T.StructType) -> DataFrame:
+    """Run the repair and the check of each report; the rows that ``case_results`` takes.
+
+    ``reports(case_id, model, fixed_sql, verification_query)``. Each repair fills an empty
+    table of its own in place of ``table``, which stays as it is; its check reads that one. A failure keeps its text.
+    The texts of the reports come to the driver, as each is a job of its own: meant for
+    the cases of an evaluation. The rows they insert are never collected.
+    """
+    rows = []
+    for report in reports.select("case_id", "model", "fixed_sql", "verification_query").collect():
+        staged = staging_table(spark, "fix")
+        fix_error = check_error = count = None
+
+        def placed(text: str | None, own: str = staged) -> str:
+            return re.sub(rf"\b{re.escape(table)}\b", own, text or "", flags=re.IGNORECASE)
+
+        try:
+            spark.createDataFrame([], dest).write.format("parquet").saveAsTable(staged)
+            try:
+                run_insert(spark, placed(report.fixed_sql))
+            except (PySparkException, ValueError) as problem:
+                fix_error = str(problem).splitlines()[0]
+            if fix_error is None and placed(report.verification_query).strip():
+                try:
+                    count = first_count(spark.sql(placed(report.verification_query)))
+                except PySparkException as problem:
+                    check_error = str(problem).splitlines()[0]
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        rows.append((report.case_id, report.model, fix_error, check_error, count))
+    return spark.createDataFrame(rows, CHECKS)

@@ -13,16 +13,16 @@ from pyspark.sql import types as T
 from pipecheck.functions.loglines import says_zero_rows
 from pipecheck.operators.align import align_to_schema, rename_candidates
 from pipecheck.operators.classify import JOIN_KEYS
-from pipecheck.operators.keys import key_prefixes, plain_key, sql_join_keys
+from pipecheck.operators.keys import key_prefixes, plain_key, sample_join_keys, sql_join_keys
 from pipecheck.operators.logs import first_matches
-from pipecheck.operators.schema import compare_all_sources, resolve_sources
+from pipecheck.operators.schema import compare_all_sources, mismatch_samples, resolve_sources
 from pipecheck.operators.verify import apply_repair
-from pipecheck.plans.diagnose import diagnose, table_flags
+from pipecheck.plans.diagnose import column_findings, diagnose
 from pipecheck.plans.repair import propose_repair, repaired
 from pipecheck.sources.ddl import create_destination
-from pipecheck.sources.logs import read_log_lines
+from pipecheck.sources.logs import existing, read_log_lines
 from pipecheck.sources.specs import read_specs, valid
-from pipecheck.sources.tables import register_csv_tables
+from pipecheck.sources.tables import csv_files, file_stem, register_csv_tables
 
 # Files of a load, and the engine that reads CSV with types.
 DESCRIPTION = "load.json"
@@ -37,6 +37,7 @@ class Load(NamedTuple):
     sources: dict[str, DataFrame]
     dest: T.StructType
     log: DataFrame
+    missing: list[str] = []
 
 
 class Diagnosis(NamedTuple):
@@ -44,27 +45,38 @@ class Diagnosis(NamedTuple):
     comparisons: DataFrame
     candidates: DataFrame
     alerts: DataFrame
+    samples: DataFrame
+    key_samples: DataFrame | None = None
 
 
 def open_load(spark: SparkSession, folder: str) -> Load:
-    """Read a load's files and register its tables as views."""
+    """Read a load's files and register its tables as views.
+
+    Every CSV of the folder becomes a view, as SQL may read more than the sources named. A
+    source without a file is listed in ``missing`` and the others are taken.
+    """
     folder = folder.rstrip("/")
-    specs = valid(read_specs(spark, f"{folder}/{DESCRIPTION}"))
+    specs = valid(read_specs(spark, f"{folder}/{DESCRIPTION}")).limit(1)
     spec = specs.first()
     if spec is None:
         raise ValueError(f"no valid description in {folder}")
     names = [row.source_table for row in resolve_sources(specs).select("source_table").collect()]
     typed = spec.destination.engine == TYPED_ENGINE
-    sources = register_csv_tables(
-        spark, [f"{folder}/{name}.csv" for name in names], infer=typed, empty_as_null=typed
+    found = existing(spark, [f"{folder}/{name}.csv" for name in names])
+    register_csv_tables(
+        spark, [p for p in csv_files(spark, folder) if file_stem(p) not in names], infer=typed, empty_as_null=typed
     )
+    sources = register_csv_tables(spark, found, infer=typed, empty_as_null=typed)
+    if not sources:
+        raise ValueError(f"no source of {names} in {folder}")
     create_destination(spark, folder)
     dest = spark.table(spec.destination.table).schema
-    return Load(spec, sources, dest, read_log_lines(spark, f"{folder}/{LOG}"))
+    missing = [name for name in names if name not in sources]
+    return Load(spec, sources, dest, read_log_lines(spark, f"{folder}/{LOG}"), missing)
 
 
 def diagnose_load(spark: SparkSession, load: Load) -> Diagnosis:
-    """Kind of the failure, with the rows that say why."""
+    """Kind of the failure, with the rows that say why and samples of the columns in question."""
     table = load.spec.destination.table
     comparisons = compare_all_sources(load.sources, load.dest)
     candidates = reduce(
@@ -75,15 +87,31 @@ def diagnose_load(spark: SparkSession, load: Load) -> Diagnosis:
         ],
     )
     dest_table = F.lit(table).alias("dest_table")
-    flags = table_flags(comparisons.select(dest_table, "*"), candidates.select(dest_table, "*"))
+    findings = column_findings(comparisons.select(dest_table, "*"), candidates.select(dest_table, "*"))
     joins = "JOIN" in load.spec.transform.sql.upper()
     zero_rows = joins and not load.log.filter(says_zero_rows(F.col("line"))).isEmpty()
     rows = [(load.spec.name, name, table, zero_rows) for name in load.sources]
     loads = spark.createDataFrame(
         rows, "load_id string, source_table string, dest_table string, zero_rows boolean"
     )
-    kind = diagnose(loads, flags).first().failure_kind
-    return Diagnosis(kind, comparisons, candidates, first_matches(load.log))
+    kind = diagnose(loads, findings).first().failure_kind
+    samples = reduce(
+        DataFrame.unionByName,
+        [mismatch_samples(df, load.dest).select(F.lit(name).alias("source_table"), "*") for name, df in load.sources.items()],
+    )
+    return Diagnosis(kind, comparisons, candidates, first_matches(load.log), samples, _key_samples(spark, load))
+
+
+def _key_samples(spark: SparkSession, load: Load) -> DataFrame | None:
+    """Samples of both join columns, where the load's SQL joins two of its sources on columns."""
+    keys = sql_join_keys(spark.createDataFrame([(load.spec.transform.sql,)], "sql string")).first()
+    if keys is None:
+        return None
+    sides = [(load.sources.get(keys.left_table), keys.left_column), (load.sources.get(keys.right_table), keys.right_column)]
+    if any(df is None or column not in df.columns for df, column in sides):
+        return None
+    (left, left_key), (right, right_key) = sides
+    return sample_join_keys(left, left_key, right, right_key)
 
 
 def repaired_join_load(spark: SparkSession, load: Load) -> DataFrame:
@@ -118,6 +146,7 @@ def repair_load(
     check: Column | None = None,
     min_rows: int | None = None,
     defaults: dict[str, object] | None = None,
+    most_lost: int = 0,
 ) -> DataFrame:
     """Build the repair for a kind of failure, check it and append it."""
     if kind == JOIN_KEYS:
@@ -127,4 +156,4 @@ def repair_load(
         frame = repaired(source, load.dest, propose_repair(source, load.dest, defaults))
     else:
         raise ValueError(f"no repair for {kind} over several tables")
-    return apply_repair(frame, load.spec.destination.table, check, min_rows)
+    return apply_repair(frame, load.spec.destination.table, check, min_rows, most_lost)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,16 +13,13 @@ STAGING_DATABASE = "pipecheck_staging"
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may go without it; it gets a folder of its own, once.
+    Only a local session may go without it; its folder is then in its warehouse.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pipecheck-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return folder.rstrip("/")
 
 
@@ -31,14 +28,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pipecheck/{name}-{uuid.uuid4().hex}"
 
 
+def staging_database(spark: SparkSession) -> str:
+    """Database of the staged tables: one for each shared folder, as its location never changes."""
+    return f"{STAGING_DATABASE}_{zlib.crc32(shared_folder(spark).encode()):08x}"
+
+
 def staging_table(spark: SparkSession, name: str) -> str:
     """Name for a new managed table whose files live in the shared folder.
 
     DROP TABLE removes the files again.
     """
-    folder = f"{shared_folder(spark)}/pipecheck/staging"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {STAGING_DATABASE} LOCATION '{folder}'")
-    return f"{STAGING_DATABASE}.{name}_{uuid.uuid4().hex}"
+    database = staging_database(spark)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_folder(spark)}/pipecheck/staging'")
+    return f"{database}.{name}_{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -2,69 +2,65 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipecheck.functions.text import strip
+from pipecheck.session import written
 
 # Fixed value: characters of a file that a preview shows.
 SHOWN_CHARACTERS = 2000
 
-# A block takes about 150 bytes in a join table.
-BROADCAST_BLOCKS = 500_000
-
 LINES = "path string, line_no bigint, line string"
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Paths that a scan finds; a missing log is not an error."""
-    found = []
-    for path in paths:
-        try:
-            spark.read.text(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            found.append(path)
-    return found
-
-
-def byte_size(setting: str) -> int:
-    """Value of a size setting such as '128m' in bytes."""
-    number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", setting.strip().lower()).groups()
-    return int(number) * 1024 ** "bkmgt".index(unit or "b")
-
-
-def most_blocks(spark: SparkSession, paths: list[str]) -> int:
-    """Upper bound of the number of pieces in which Spark reads some files."""
-    sizes = spark.read.format("binaryFile").load(paths).agg(
-        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
-    )
-    files, size = sizes.first()
-    block = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    parallel = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    parallel = int(parallel) if parallel else spark.sparkContext.defaultParallelism
-    return files + parallel + size // block
+    """Paths that a scan finds; a missing log is not an error.
+
+    All are asked for at once. Only if some are missing is the list halved to find them.
+    """
+    if not paths:
+        return []
+    try:
+        spark.read.text(paths)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        half = len(paths) // 2
+        return existing(spark, paths[:half]) + existing(spark, paths[half:]) if half else []
+    return paths
+
+
+def without_scheme(path: Column) -> Column:
+    """An address without its scheme and host: the path in its file system."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+
+
+def plain_path(reported: Column) -> Column:
+    """The path of a file from the encoded address that a scan reports."""
+    return F.url_decode(F.replace(without_scheme(reported), F.lit("+"), F.lit("%2B")))
 
 
 def read_log_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Lines of log files with their numbers, blank ends of each file cut.
 
-    Large files stay split over tasks: lines are counted per file block, and the
-    running sum over the few blocks of a file gives each block its first number.
+    ``path`` is the path without scheme and host. Large files stay split over tasks. The
+    files are scanned once, into a table in the shared folder that says where each line
+    stands in its file block; what numbers the lines is then counted from that table, so no
+    second scan has to cut the files alike.
     """
     paths = existing(spark, [paths] if isinstance(paths, str) else list(paths))
     if not paths:
         return spark.createDataFrame([], LINES)
-    scan = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"),
-        F.col("value").alias("line"),
+    scan = written(
+        spark.read.text(paths).select(
+            plain_path(F.col("_metadata.file_path")).alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("position"),
+            F.col("value").alias("line"),
+        ),
+        "log-lines",
     )
     filled = strip(F.col("line")) != ""
     blocks = scan.groupBy("path", "block").agg(
@@ -82,14 +78,8 @@ def read_log_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         .withColumn("last_no", F.max(F.col("last") - F.col("start") + F.col("offset")).over(whole))
         .select("path", "block", "start", "offset", "first_no", "last_no")
     )
-    # Both scans must cut the files alike; a line without its block is an error.
-    changed = F.raise_error(
-        F.lit("file blocks changed between two scans; fix spark.sql.files.minPartitionNum")
-    ).cast("bigint")
-    if most_blocks(spark, paths) <= BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    numbered = scan.join(blocks, ["path", "block"], "left").withColumn(
-        "number", F.col("position") - F.coalesce(F.col("start"), changed) + F.col("offset")
+    numbered = scan.join(blocks, ["path", "block"]).withColumn(
+        "number", F.col("position") - F.col("start") + F.col("offset")
     )
     line = F.col("line")
     line = F.when(F.col("number") == F.col("first_no"), F.regexp_replace(line, r"(?U)^\s+", "")).otherwise(line)
@@ -126,7 +116,8 @@ def preview_files(
     """Preview of every text file, with line ends of any system read as newlines.
 
     Large files stay split over tasks. The length is summed over lines; the first
-    characters can only be in lines that start in the first bytes of a file.
+    characters can only be in lines that start in the first bytes of a file. An empty file
+    has no lines and comes from the list of files.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -160,9 +151,10 @@ def preview_files(
     ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
     head = first.groupBy("path").agg(F.array_join(ordered["line"], "\n").alias("head"))
     whole = F.when(F.length("head") < F.col("total_chars"), F.concat("head", F.lit("\n"))).otherwise(F.col("head"))
-    return totals.join(head, "path").select(
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    return files.join(totals.join(head, "path"), "path", "left").select(
         "path",
-        F.substring(whole, 1, shown).alias("preview"),
-        "total_chars",
-        (F.col("total_chars") > shown).alias("truncated"),
+        F.coalesce(F.substring(whole, 1, shown), F.lit("")).alias("preview"),
+        F.coalesce("total_chars", F.lit(0)).cast("bigint").alias("total_chars"),
+        F.coalesce(F.col("total_chars") > shown, F.lit(False)).alias("truncated"),
     )

@@ -47,7 +47,8 @@ def read_csv(
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multiline)
     if schema is not None:
-        df = reader.schema(schema).csv(path)
+        # Columns go by the header's names; a header in another order is an error.
+        df = reader.option("enforceSchema", False).schema(schema).csv(path)
     else:
         df = reader.option("inferSchema", infer).csv(path)
     if empty_as_null:

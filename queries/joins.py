@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pipecheck.operators import keys
 from pipecheck.operators.align import align_to_schema
+from pipecheck.operators import verify as verify_module
 from pipecheck.operators.verify import apply_repair, verify
 from pipecheck.plans.repair import propose_repair, repaired
 from pipecheck.session import staging_table
@@ -14,6 +15,8 @@ from pipecheck.sources.sink import append
 from queries import inputs as I
 
 PREFIX = "CUST-"
+# The caller of staged_append allows any loss, and reads how large it was.
+MOST_LOST = 2**62
 KEYS = ("order_customer", "customer_id")
 JOINED = (
     "orders_ AS ({o}), customers_ AS ({c}), joined AS (SELECT o.order_id, c.name AS customer_name, "
@@ -88,17 +91,52 @@ def _destination(spark, ddl_columns):
 
 
 def staged_append(spark, sf_dir):
-    """Propose, compute, check, append and check again on the table."""
+    """Propose, compute, check, append and check again on the table; lost values are counted."""
+    return _applied(spark, sf_dir, most_lost=MOST_LOST)
+
+
+def refused_append(spark, sf_dir):
+    """The same without leave to lose values: nothing is appended if any is lost."""
+    return _applied(spark, sf_dir, most_lost=0)
+
+
+def _applied(spark, sf_dir, most_lost):
     source = I.pricing(spark, sf_dir)
     frame = repaired(source, I.FACT_PRICING, propose_repair(source, I.FACT_PRICING))
     dest = _destination(spark, "product_id VARCHAR, price DOUBLE, effective_date DATE")
-    return apply_repair(frame, dest, F.col("price").isNotNull()).drop("error")
+    outcome = apply_repair(frame, dest, F.col("price").isNotNull(), most_lost=most_lost).drop("error")
+    spark.sql(f"DROP TABLE {dest}")
+    return outcome
+
+
+# Repairs of the sales load as an answer may write them: good, broken, without rows, with a check below its minimum.
+FIXES = {
+    "good": ("INSERT INTO stg_sales (order_id, amount) SELECT order_id, total_amount FROM sales_view", "SELECT COUNT(*) FROM stg_sales WHERE amount IS NOT NULL"),
+    "broken": ("INSERT INTO stg_sales (amount) SELECT no_such_column FROM sales_view", "SELECT COUNT(*) FROM stg_sales"),
+    "no_rows": ("INSERT INTO stg_sales (amount) SELECT total_amount FROM sales_view WHERE false;", "SELECT COUNT(*) FROM stg_sales"),
+    "below": ("INSERT INTO stg_sales (order_id, amount) SELECT order_id, total_amount FROM sales_view WHERE order_id = 1", "SELECT COUNT(*) FROM stg_sales"),
+    "bad_check": ("INSERT INTO stg_sales (amount) SELECT total_amount FROM sales_view", "SELECT COUNT(*) FROM stg_sales WHERE nothing = 1"),
+}
+
+
+def score_fixes(spark, sf_dir):
+    """Each repair run on its own copy of the destination, then its check."""
+    I.sales(spark, sf_dir).createOrReplaceTempView("sales_view")
+    reports = spark.createDataFrame(
+        [(name, "model", fix, check) for name, (fix, check) in FIXES.items()],
+        "case_id string, model string, fixed_sql string, verification_query string",
+    )
+    checks = verify_module.score_fixes(spark, reports, "stg_sales", I.STG_SALES)
+    return checks.select(
+        "case_id", "model", F.col("fix_error").isNotNull().alias("fix_failed"), F.col("check_error").isNotNull().alias("check_failed"), "cnt"
+    )
 
 
 def append_rows(spark, sf_dir):
     """Append by name and read the table back."""
     dest = _destination(spark, "order_id BIGINT, customer_name VARCHAR, order_total DOUBLE")
     written = append(repair_join_keys(spark, sf_dir), dest)
+    # The table itself is the result: its owner drops it.
     return spark.table(dest).agg(
         F.lit(written).cast("bigint").alias("rows_written"),
         F.count(F.lit(1)).alias("rows_in_table"),
@@ -106,6 +144,10 @@ def append_rows(spark, sf_dir):
     )
 
 
+APPLIED_SQL = f"""WITH p AS (SELECT *, TRY_CAST(replace(replace(price, '$', ''), ',', '') AS DOUBLE) AS amount FROM ({I.PRICING_SQL})),
+  c AS (SELECT count(*) AS n, count(amount) AS good,
+    count(*) FILTER (price IS NOT NULL AND trim(price) NOT IN ('N/A', '') AND amount IS NULL) AS lost FROM p)"""
+
 QUERIES = {
     "segment_counts": (
         segment_counts,
@@ -169,11 +211,24 @@ QUERIES = {
     ),
     "staged_append": (
         staged_append,
-        f"""WITH p AS ({I.PRICING_SQL}), c AS (SELECT count(*) AS n,
-            count(TRY_CAST(replace(replace(price, '$', ''), ',', '') AS DOUBLE)) AS good FROM p)
-            SELECT 'verified' AS status, n AS staged_rows, good AS checked_rows, n AS appended_rows,
+        f"""{APPLIED_SQL} SELECT 'verified' AS status, n AS staged_rows, good AS checked_rows, lost AS lost_values, n AS appended_rows,
             good AS table_checked_rows FROM c""",
     ),
+    "refused_append": (
+        refused_append,
+        f"""{APPLIED_SQL} SELECT CASE WHEN lost > 0 THEN 'refused' ELSE 'verified' END AS status, n AS staged_rows, good AS checked_rows,
+            lost AS lost_values, CASE WHEN lost > 0 THEN 0 ELSE n END AS appended_rows,
+            CASE WHEN lost > 0 THEN NULL ELSE good END AS table_checked_rows FROM c""",
+    ),
+    "score_fixes": (
+        score_fixes,
+        f"""WITH s AS ({I.SALES_SQL})
+            SELECT 'good' AS case_id, 'model' AS model, false AS fix_failed, false AS check_failed, count(total_amount) AS cnt FROM s
+            UNION ALL SELECT 'broken', 'model', true, false, NULL
+            UNION ALL SELECT 'no_rows', 'model', false, false, 0
+            UNION ALL SELECT 'below', 'model', false, false, count(*) FROM s WHERE order_id = 1
+            UNION ALL SELECT 'bad_check', 'model', false, true, NULL""",
+    ),
     "append_rows": (
         append_rows,
         f"""WITH {JOINED} SELECT count(*) AS rows_written, count(*) AS rows_in_table,

@@ -47,7 +47,7 @@ def log_bad_pattern(spark, sf_dir):
 
 def log_fields(spark, sf_dir):
     lines = I.log_lines(spark, sf_dir)
-    junk = lines.select("path", F.lit(0).cast("bigint").alias("line_no"), F.substring("line", 3, 200).alias("line"))
+    junk = lines.select("path", F.lit(0).cast("bigint").alias("line_no"), F.expr("substring(line, 3)").alias("line"))
     return logs.parsed_lines(lines.unionByName(junk)).drop("line")
 
 
@@ -118,7 +118,7 @@ QUERIES = {
     ),
     "log_fields": (
         log_fields,
-        f"""WITH {LINES}, a AS (SELECT * FROM l UNION ALL SELECT path, 0, substr(line, 3, 200) FROM l)
+        f"""WITH {LINES}, a AS (SELECT * FROM l UNION ALL SELECT path, 0, substr(line, 3) FROM l)
             SELECT path, line_no, regexp_extract(line, '{LINE_RE}', 1) AS ts_text,
             TRY_CAST(regexp_extract(line, '{LINE_RE}', 1) AS TIMESTAMP) AS ts, regexp_extract(line, '{LINE_RE}', 2) AS level,
             regexp_extract(line, '{LINE_RE}', 3) AS message FROM a""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipecheck.operators import align, quality, schema
-from pipecheck.plans.diagnose import catalog_rows, diagnose, load_signs, table_flags
+from pipecheck.plans.diagnose import catalog_rows, column_findings, diagnose, load_signs
 from pipecheck.operators.classify import zero_row_join
 from pipecheck.operators.keys import sql_join_keys
 from pipecheck.sources.specs import parse_specs, valid
@@ -264,10 +264,24 @@ def _load_tables(spark, sf_dir):
     }
 
 
+ENRICHED = T.StructType().add("order_id", T.LongType()).add("name", T.StringType()).add("total", T.DoubleType())
+
+
+def _all_loads(spark, sf_dir):
+    """One row per load and source table; a load that joins reads orders and customers."""
+    loads = load_signs(I.loads(spark, sf_dir))
+    other = loads.filter("dest_table = 'enriched'").withColumn("source_table", F.lit("customers"))
+    return loads.unionByName(other)
+
+
 def failure_kind(spark, sf_dir):
     """Kind of every load: findings per table pair from whole tables, joined to all loads."""
 
-    tables = _load_tables(spark, sf_dir)
+    tables = {
+        **_load_tables(spark, sf_dir),
+        ("orders", "enriched"): (I.orders(spark, sf_dir), ENRICHED),
+        ("customers", "enriched"): (I.customers(spark, sf_dir), ENRICHED),
+    }
 
     def per_pair(operator) -> DataFrame:
         frames = [
@@ -278,8 +292,8 @@ def failure_kind(spark, sf_dir):
         ]
         return reduce(DataFrame.unionByName, frames)
 
-    flags = table_flags(per_pair(schema.compare_schemas), per_pair(align.rename_candidates))
-    return diagnose(load_signs(I.loads(spark, sf_dir)), flags)
+    findings = column_findings(per_pair(schema.compare_schemas), per_pair(align.rename_candidates))
+    return diagnose(_all_loads(spark, sf_dir), findings)
 
 
 def catalog_compare(spark, sf_dir):
@@ -381,8 +395,24 @@ QUERIES = {
     ),
     "failure_kind": (
         failure_kind,
-        f"""WITH l AS (SELECT *, regexp_matches(lower(log), '\\b0 rows?\\b') AND upper(sql) LIKE '%JOIN%' AS zero_rows,
-              source_table = 'sales' AS has_renamed, source_table IN ('sales', 'customers') AS has_missing,
+        f"""WITH columns AS (
+              SELECT 'sales' AS t, column_name AS c FROM (DESCRIBE {I.SALES_SQL})
+              UNION ALL SELECT 'customers', column_name FROM (DESCRIBE {I.CUSTOMERS_SQL}) WHERE column_name <> 'customer_id'
+              UNION ALL SELECT 'pricing', column_name FROM (DESCRIBE {I.PRICING_SQL})
+              UNION ALL SELECT 'orders', column_name FROM (DESCRIBE {I.ORDERS_SQL})
+              UNION ALL SELECT 'orders', column_name FROM (DESCRIBE {I.CUSTOMERS_SQL})
+              UNION ALL SELECT 'nation', column_name FROM (DESCRIBE nation)),
+            dests AS (SELECT 'sales' AS t, d_name AS d FROM ({_dest_values(I.STG_SALES)})
+              UNION ALL SELECT 'customers', d_name FROM ({_dest_values(I.DIM_CUSTOMERS)})
+              UNION ALL SELECT 'pricing', d_name FROM ({_dest_values(I.FACT_PRICING)})
+              UNION ALL SELECT 'orders', d_name FROM ({_dest_values(ENRICHED)})
+              UNION ALL SELECT 'nation', column_name FROM (DESCRIBE nation)),
+            absent AS (SELECT t, d, EXISTS (SELECT 1 FROM columns c WHERE c.t = dests.t AND c.c NOT IN (SELECT d FROM dests e WHERE e.t = dests.t)
+                AND len(list_intersect(list_filter(string_split(lower(c.c), '_'), lambda x: length(x) > 1), string_split(lower(d), '_'))) > 0) AS named
+              FROM dests WHERE NOT EXISTS (SELECT 1 FROM columns c WHERE c.t = dests.t AND c.c = dests.d)),
+            l AS (SELECT *, regexp_matches(lower(log), '\\b0 rows?\\b') AND upper(sql) LIKE '%JOIN%' AS zero_rows,
+              EXISTS (SELECT 1 FROM absent WHERE t = source_table AND named) AS has_renamed,
+              EXISTS (SELECT 1 FROM absent WHERE t = source_table AND NOT named) AS has_missing,
               source_table = 'pricing' AND EXISTS (SELECT 1 FROM ({I.PRICING_SQL}) WHERE price IS NOT NULL AND TRY_CAST(price AS DOUBLE) IS NULL) AS has_bad_cast
               FROM ({I.LOADS_SQL}))
             SELECT load_id, zero_rows, has_renamed, has_missing, has_bad_cast,

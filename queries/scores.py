@@ -8,8 +8,12 @@ from pipecheck.functions import terms as TS
 from pipecheck.operators import scoring
 from queries import inputs as I
 
-# Cases are benchmark items; every document is a report on one of them.
-CASES = 50
+# Cases are benchmark items, numbered from 0; every document is a report on one of them.
+CASES = "(SELECT count(*) FROM benchmark)"
+
+
+def _cases(spark, sf_dir) -> int:
+    return I.table(spark, sf_dir, "benchmark").count()
 
 
 def term_sets(spark, sf_dir):
@@ -20,7 +24,7 @@ def term_sets(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    documents = I.texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("text").alias("predicted"), (F.col("doc_id") % CASES).alias("item_id"))
+    documents = I.texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("text").alias("predicted"), (F.col("doc_id") % _cases(spark, sf_dir)).alias("item_id"))
     items = I.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"))
     joined = documents.join(items, "item_id")
     return joined.withColumns({"have": TS.term_set(F.col("predicted")), "want": TS.term_set(F.col("expected"))})
@@ -49,15 +53,15 @@ def overlap_documents_benchmark(spark, sf_dir):
     return scoring.match_all(documents, items, "doc_id", "item_id")
 
 
-def _case_id(column: str) -> F.Column:
-    return F.concat(F.lit("case_"), F.lpad((F.col(column) % CASES).cast("string"), 2, "0"))
+def _case_id(number: F.Column) -> F.Column:
+    return F.concat(F.lit("case_"), number.cast("string"))
 
 
 def _reports(spark, sf_dir):
     """Documents as reports of four models; labels tell how their repair ran."""
     doc = F.col("doc_id")
     return I.texts(spark, sf_dir, "documents", "doc_id").select(
-        _case_id("doc_id").alias("case_id"),
+        _case_id(doc % _cases(spark, sf_dir)).alias("case_id"),
         F.concat(F.lit("model_"), (doc % 4).cast("string"), F.lit("_"), doc.cast("string")).alias("model"),
         F.when(doc % 19 == 0, "max_steps_reached").otherwise("success").alias("status"),
         F.col("text").alias("root_cause"),
@@ -71,8 +75,8 @@ def _reports(spark, sf_dir):
 
 def _expected(spark, sf_dir):
     item = F.col("item_id")
-    return I.table(spark, sf_dir, "benchmark").filter(item < CASES).select(
-        _case_id("item_id").alias("case_id"),
+    return I.table(spark, sf_dir, "benchmark").select(
+        _case_id(item).alias("case_id"),
         F.concat(F.lit("Case "), item.cast("string")).alias("case_name"),
         F.col("text").alias("root_cause"),
         F.when(item % 2 == 0, "SELECT COUNT(*) FROM expected").alias("verification_query"),
@@ -83,7 +87,7 @@ def _expected(spark, sf_dir):
 def _checks(spark, sf_dir):
     doc = F.col("doc_id")
     return I.table(spark, sf_dir, "labels").select(
-        _case_id("doc_id").alias("case_id"),
+        _case_id(doc % _cases(spark, sf_dir)).alias("case_id"),
         F.concat(F.lit("model_"), (doc % 4).cast("string"), F.lit("_"), doc.cast("string")).alias("model"),
         F.when(F.col("toxic") == 1, "cast failed").alias("fix_error"),
         F.when(doc % 31 == 0, "no such table").alias("check_error"),
@@ -142,10 +146,10 @@ PAIRS = f"""p AS (SELECT doc_id, item_id, {_terms_sql('d.text')} AS have, {_term
   FROM documents d JOIN benchmark b ON d.doc_id % {CASES} = b.item_id)"""
 
 RESULTS = f"""
-e AS (SELECT 'case_' || lpad(CAST(item_id AS VARCHAR), 2, '0') AS case_id, concat('Case ', item_id) AS case_name, {_terms_sql('text')} AS want,
+e AS (SELECT concat('case_', item_id) AS case_id, concat('Case ', item_id) AS case_name, {_terms_sql('text')} AS want,
   CASE WHEN item_id % 2 = 0 THEN 'SELECT COUNT(*) FROM expected' END AS expected_query, CASE WHEN item_id % 4 = 0 THEN 2 END AS min_rows
-  FROM benchmark WHERE item_id < {CASES}),
-r AS (SELECT doc_id, 'case_' || lpad(CAST(doc_id % {CASES} AS VARCHAR), 2, '0') AS case_id, concat('model_', doc_id % 4, '_', doc_id) AS model,
+  FROM benchmark),
+r AS (SELECT doc_id, concat('case_', doc_id % {CASES}) AS case_id, concat('model_', doc_id % 4, '_', doc_id) AS model,
   {_terms_sql('text')} AS have, doc_id % 19 <> 0 AND doc_id % 23 <> 0 AS has_fix,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'SELECT COUNT(*) FROM own' END AS own_query, doc_id % 15 + 1 AS steps, n_chars / 8 AS secs FROM documents),
 j AS (SELECT r.*, e.case_name, want, min_rows, coalesce(own_query, expected_query, '') AS check_query,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pipecheck.functions.shapes import key_prefix, key_shape, strip_prefix, value_shape
 from pipecheck.operators import keys
 from pipecheck.operators.classify import failure_kind, zero_row_join
-from pipecheck.plans.diagnose import diagnose, load_signs, table_flags
+from pipecheck.plans.diagnose import column_findings, diagnose, load_signs
 from tests.conftest import values
 
 
@@ -139,7 +139,7 @@ def test_diagnose_takes_all_tables_of_a_load(frame):
          (5, "a", "d", "x JOIN y", "0 rows")],
         "load_id int, source_table string, dest_table string, sql string, log string",
     )
-    got = values(diagnose(load_signs(loads), table_flags(comparisons, candidates)), "load_id", "failure_kind")
+    got = values(diagnose(load_signs(loads), column_findings(comparisons, candidates)), "load_id", "failure_kind")
     assert got == [
         (1, "column_name_mismatch"), (2, "type_cast_error"), (3, "unknown"), (4, "unknown"), (5, "join_key_format_mismatch")
     ]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipecheck.operators import verify
-from pipecheck.session import STAGING_DATABASE, staging_table
+from pipecheck.session import staging_database, staging_table
 from pipecheck.sources.ddl import create_tables
 from tests.conftest import values
 
@@ -41,7 +41,7 @@ def test_verify_query(spark, query, minimum, want):
 
 
 def staged(spark):
-    return [t.name for t in spark.catalog.listTables(STAGING_DATABASE) if t.name.startswith("repair_")]
+    return [t.name for t in spark.catalog.listTables(staging_database(spark)) if t.name.startswith("repair_")]
 
 
 def test_good_repair_is_appended(spark, frame, dest):
