@@ -117,7 +117,7 @@ def preview_files(
 
     Large files stay split over tasks. The length is summed over lines; the first
     characters can only be in lines that start in the first bytes of a file. An empty file
-    has no lines and comes from the list of files.
+    has no lines and comes from the list of files that the driver holds.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -151,9 +151,13 @@ def preview_files(
     ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
     head = first.groupBy("path").agg(F.array_join(ordered["line"], "\n").alias("head"))
     whole = F.when(F.length("head") < F.col("total_chars"), F.concat("head", F.lit("\n"))).otherwise(F.col("head"))
-    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
-    return files.join(totals.join(head, "path"), "path", "left").select(
-        "path",
+    # The driver's own list of files: a scan never reports an empty one.
+    listed = [(p,) for p in spark.read.text(paths).inputFiles()]
+    files = spark.createDataFrame(listed, "listed string")
+    found = totals.join(head, "path")
+    met = files.join(found, without_scheme(F.col("listed")) == without_scheme(F.col("path")), "left")
+    return met.select(
+        F.coalesce("path", "listed").alias("path"),
         F.coalesce(F.substring(whole, 1, shown), F.lit("")).alias("preview"),
         F.coalesce("total_chars", F.lit(0)).cast("bigint").alias("total_chars"),
         F.coalesce(F.col("total_chars") > shown, F.lit(False)).alias("truncated"),

@@ -1,11 +1,12 @@
 """The four kinds of broken load, from files to a verified append."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pipecheck.functions.types import schema_from_ddl
 from pipecheck.operators.keys import key_prefixes, match_rate, repaired_join
 from pipecheck.operators.schema import compare_schemas
-from pipecheck.operators.verify import apply_repair, verify_query
+from pipecheck.operators.verify import apply_repair, run_insert, score_fixes, verify_query
 from pipecheck.plans.repair import propose_repair, repaired
 from pipecheck.sources.ddl import create_destination
 from pipecheck.sources.tables import csv_files, read_csv, register_csv_tables
@@ -30,66 +31,61 @@ def fix(spark, folder, table, check, infer=True):
 def test_renamed_column(spark, tmp_path):
     prepare(
         tmp_path,
-        "CREATE TABLE IF NOT EXISTS g_sales (\n order_id INTEGER,\n customer_id INTEGER,\n amount DOUBLE,\n order_date DATE\n)\n",
-        source_data="order_id,customer_id,total_amount,order_date\n1001,501,29.99,2024-11-01\n1002,502,149.50,2024-11-02\n"
-        "1003,503,75.00,2024-11-03\n1004,501,42.25,2024-11-04\n1005,504,199.99,2024-11-05\n",
+        "CREATE TABLE IF NOT EXISTS g_trips (\n trip INTEGER,\n length DOUBLE,\n driver INTEGER\n)\n",
+        source_data="driver,trip_length,trip\n7,12.5,1\n7,0.75,2\n9,310,3\n",
     )
-    source, dest, repair, outcome = fix(spark, tmp_path, "g_sales", F.col("amount").isNotNull())
+    source, dest, repair, outcome = fix(spark, tmp_path, "g_trips", F.col("length").isNotNull())
     statuses = values(compare_schemas(source, dest).filter("status <> 'OK'"), "source_column", "dest_column", "status")
-    assert statuses == [("total_amount", None, "EXTRA IN SOURCE"), (None, "amount", "MISSING IN SOURCE")]
-    assert repair.renames == {"total_amount": "amount"} and not repair.defaults
-    assert (outcome.status, outcome.appended_rows, outcome.table_checked_rows) == ("verified", 5, 5)
-    assert verify_query(spark, "SELECT COUNT(*) as cnt FROM g_sales WHERE amount IS NOT NULL") == ("verified", 5)
+    assert statuses == [("trip_length", None, "EXTRA IN SOURCE"), (None, "length", "MISSING IN SOURCE")]
+    assert repair.renames == {"trip_length": "length"} and not repair.defaults
+    assert (outcome.status, outcome.appended_rows, outcome.table_checked_rows) == ("verified", 3, 3)
+    assert verify_query(spark, "SELECT COUNT(*) AS n FROM g_trips WHERE length > 1") == ("verified", 2)
 
 
 def test_missing_column(spark, tmp_path):
     prepare(
         tmp_path,
-        "CREATE TABLE IF NOT EXISTS g_customers (id INTEGER, name TEXT, email TEXT, region TEXT, signup_date TEXT)",
-        source_data="id,name,email,signup_date\n1,Ann,a@example.com,2024-01-15\n2,Ben,b@example.com,2024-03-22\n"
-        "3,Cy,c@example.com,2024-06-10\n4,Dee,d@example.com,2024-09-05\n",
+        "CREATE TABLE IF NOT EXISTS g_plants (bed INTEGER, species TEXT, colour TEXT)",
+        source_data="bed,species\n4,fern\n5,moss\n6,iris\n7,reed\n8,ivy\n",
     )
-    _, _, repair, outcome = fix(spark, tmp_path, "g_customers", F.col("region") == "UNKNOWN", infer=False)
-    assert repair.defaults == {"region": "UNKNOWN"} and not repair.renames
-    assert (outcome.status, outcome.appended_rows, outcome.table_checked_rows) == ("verified", 4, 4)
-    assert values(spark.table("g_customers"), "id", "signup_date")[0] == (1, "2024-01-15")
+    _, _, repair, outcome = fix(spark, tmp_path, "g_plants", F.col("colour") == "UNKNOWN", infer=False)
+    assert repair.defaults == {"colour": "UNKNOWN"} and not repair.renames
+    assert (outcome.status, outcome.appended_rows, outcome.table_checked_rows) == ("verified", 5, 5)
+    assert values(spark.table("g_plants"), "bed", "species")[0] == (4, "fern")
 
 
 def test_dirty_cast(spark, tmp_path):
     prepare(
         tmp_path,
-        "CREATE TABLE IF NOT EXISTS g_pricing (product_id VARCHAR, price DOUBLE, effective_date DATE)",
-        source_data="product_id,price,effective_date\nP001,$12.50,2024-11-01\nP002,$8.99,2024-11-01\nP003,$45.00,2024-11-01\n"
-        "P004,N/A,2024-11-01\nP005,$22.75,2024-11-02\nP006,$15.00,2024-11-02\n",
+        "CREATE TABLE IF NOT EXISTS g_tolls (gate VARCHAR, fee DOUBLE)",
+        source_data="gate,fee\nnorth,$3\nsouth,N/A\neast,\"$1,204.25\"\nwest,$0.5\n",
     )
-    source, dest, repair, outcome = fix(spark, tmp_path, "g_pricing", F.col("price").isNotNull())
+    source, dest, repair, outcome = fix(spark, tmp_path, "g_tolls", F.col("fee").isNotNull())
     mismatch = compare_schemas(source, dest).filter("status = 'TYPE MISMATCH'").first()
-    assert (mismatch.source_column, mismatch.n_rows, mismatch.n_uncastable) == ("price", 6, 6)
-    assert repair.cleaned == ["price"]
-    assert (outcome.status, outcome.appended_rows, outcome.table_checked_rows) == ("verified", 6, 5)
-    assert values(spark.table("g_pricing"), "price")[:2] == [(12.5,), (15.0,)]
+    assert (mismatch.source_column, mismatch.n_rows, mismatch.n_uncastable) == ("fee", 4, 4)
+    assert repair.cleaned == ["fee"]
+    assert (outcome.status, outcome.appended_rows, outcome.table_checked_rows) == ("verified", 4, 3)
+    assert outcome.lost_values == 0 and values(spark.table("g_tolls"), "fee")[:2] == [(0.5,), (1204.25,)]
 
 
 def test_join_keys(spark, tmp_path):
     prepare(
         tmp_path,
-        "CREATE TABLE IF NOT EXISTS g_enriched (order_id INTEGER, customer_name VARCHAR, order_total DOUBLE)",
-        g_orders="order_id,customer_id,total\n2001,101,59.99\n2002,102,124.50\n2003,103,35.00\n2004,104,89.75\n2005,105,210.00\n",
-        g_people="customer_id,name\nCUST-101,Ann\nCUST-102,Ben\nCUST-103,Cy\nCUST-104,Dee\nCUST-105,Eve\n",
+        "CREATE TABLE IF NOT EXISTS g_lent (loan INTEGER, reader VARCHAR)",
+        g_loans="loan,card\n31,8\n32,15\n33,8\n34,42\n",
+        g_cards="card_no,reader\nLIB/8,Noor\nLIB/15,Pia\nLIB/42,Qi\n",
     )
     create_destination(spark, str(tmp_path))
     found = register_csv_tables(spark, csv_files(spark, str(tmp_path)))
-    orders, people = found["g_orders"], found["g_people"]
-    faults = key_prefixes(orders, "customer_id", people, "customer_id").filter("one_sided")
-    assert values(faults) == [("", 5, 0, True), ("CUST-", 0, 5, True)]
-    rates = {r.form: r.match_rate for r in match_rate(orders, "customer_id", people, "customer_id", "CUST-").collect()}
+    loans, cards = found["g_loans"], found["g_cards"]
+    faults = key_prefixes(loans, "card", cards, "card_no").filter("one_sided")
+    assert values(faults) == [("", 4, 0, True), ("LIB/", 0, 3, True)]
+    rates = {r.form: r.match_rate for r in match_rate(loans, "card", cards, "card_no", "LIB/").collect()}
     assert rates == {"raw": 0.0, "repaired": 1.0}
-    joined = repaired_join(orders, "customer_id", people, "customer_id", "CUST-").select(
-        F.col("order_id"), F.col("name").alias("customer_name"), F.col("total").alias("order_total")
-    )
-    outcome = apply_repair(joined, "g_enriched", min_rows=5).first()
-    assert (outcome.status, outcome.appended_rows) == ("verified", 5)
-    assert values(spark.table("g_enriched"))[0] == (2001, "Ann", 59.99)
+    joined = repaired_join(loans, "card", cards, "card_no", "LIB/").select("loan", "reader")
+    outcome = apply_repair(joined, "g_lent", min_rows=4).first()
+    assert (outcome.status, outcome.appended_rows) == ("verified", 4)
+    assert values(spark.table("g_lent"))[:2] == [(31, "Noor"), (32, "Pia")]
 
 
 def test_a_column_with_no_source_and_no_text_needs_a_default(spark):
@@ -103,3 +99,44 @@ def test_a_column_with_no_source_and_no_text_needs_a_default(spark):
         raise AssertionError("no error")
     given = propose_repair(source, dest, {"weight": 0.5})
     assert values(repaired(source, dest, given)) == [(1, 0.5)]
+
+
+def test_left_over_columns_and_ties_are_never_filled(spark):
+    dest = schema_from_ddl("id INTEGER, region TEXT")
+    for columns in ("id int, territory string", "id int, ship_region string, home_region string"):
+        source = spark.createDataFrame([], columns)
+        repair = propose_repair(source, dest)
+        assert repair.unresolved == ["region"] and not repair.defaults and not repair.renames
+        with pytest.raises(ValueError, match="region"):
+            repaired(source, dest, repair)
+
+
+def test_lost_values_are_refused(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS g_lost (v DOUBLE) USING parquet")
+    source = spark.createDataFrame([("1.5",), ("$2",), ("N/A",), ("about 3",), (None,)], "v string")
+    dest = spark.table("g_lost").schema
+    frame = repaired(source, dest, propose_repair(source, dest))
+    outcome = apply_repair(frame, "g_lost", F.col("v").isNotNull()).first()
+    assert (outcome.status, outcome.lost_values, outcome.appended_rows) == ("refused", 1, 0)
+    outcome = apply_repair(frame, "g_lost", F.col("v").isNotNull(), most_lost=1).first()
+    assert (outcome.status, outcome.lost_values, outcome.appended_rows) == ("verified", 1, 5)
+    assert spark.table("g_lost").columns == ["v"]
+
+
+def test_insert_texts(spark):
+    spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string").createOrReplaceTempView("g_from")
+    dest = schema_from_ddl("n INTEGER, t TEXT")
+    spark.createDataFrame([], dest).write.mode("overwrite").saveAsTable("g_into")
+    assert run_insert(spark, "insert into g_into (t) select t from g_from where n > 1;") == 1
+    assert run_insert(spark, "INSERT INTO g_into WITH x AS (SELECT * FROM g_from) SELECT * FROM x") == 2
+    assert values(spark.table("g_into")) == [(1, "a"), (2, "b"), (None, "b")]
+    with pytest.raises(ValueError, match="2 values for 1"):
+        run_insert(spark, "INSERT INTO g_into (n) SELECT n, t FROM g_from")
+    reports = spark.createDataFrame(
+        [("a", "m", "INSERT INTO g_into (n) SELECT n FROM g_from", "SELECT COUNT(*) FROM g_into"), ("b", "m", "nonsense", "SELECT 1"),
+         ("c", "m", "INSERT INTO g_into (n) SELECT n FROM g_from", ""), ("d", "m", "INSERT INTO g_into SELECT * FROM nowhere", None)],
+        "case_id string, model string, fixed_sql string, verification_query string",
+    )
+    got = {r.case_id: (r.fix_error is not None, r.check_error, r.cnt) for r in score_fixes(spark, reports, "g_into", dest).collect()}
+    assert got == {"a": (False, None, 2), "b": (True, None, None), "c": (False, None, None), "d": (True, None, None)}
+    assert spark.table("g_into").count() == 3

@@ -143,3 +143,29 @@ def test_diagnose_takes_all_tables_of_a_load(frame):
     assert got == [
         (1, "column_name_mismatch"), (2, "type_cast_error"), (3, "unknown"), (4, "unknown"), (5, "join_key_format_mismatch")
     ]
+
+
+def test_a_healthy_join_load_is_unknown(frame):
+    comparisons = frame(
+        [("o", "d", "id", "OK", None), ("o", "d", "name", "MISSING IN SOURCE", None), ("c", "d", "id", "MISSING IN SOURCE", None), ("c", "d", "name", "OK", None)],
+        "source_table string, dest_table string, dest_column string, status string, n_uncastable long",
+    )
+    candidates = frame([("c", "d", "id")], "source_table string, dest_table string, dest_column string")
+    loads = frame([(1, "o", "d", "", ""), (1, "c", "d", "", ""), (2, "c", "d", "", "")], "load_id int, source_table string, dest_table string, sql string, log string")
+    got = values(diagnose(load_signs(loads), column_findings(comparisons, candidates)), "load_id", "failure_kind")
+    assert got == [(1, "unknown"), (2, "column_name_mismatch")]
+
+
+def test_keys_with_letters_fractions_and_a_hot_key(frame):
+    left = frame([("A7", 1), (" 007", 2), ("B", 3), ("", 4), (None, 5)], "k string, v int")
+    right = frame([("CUST-A7", "x"), ("CUST-7", "y"), ("CUST-", "z")], "id string, w string")
+    assert values(keys.repaired_join(left, "k", right, "id", "CUST-"), "v", "w") == [(1, "x"), (2, "y")]
+    doubles = frame([(101.7, 1), (101.0, 2), (1e300, 3), (float("nan"), 4)], "k double, v int")
+    people = frame([("CUST-101", "a")], "id string, w string")
+    assert values(keys.repaired_join(doubles, "k", people, "id", "CUST-"), "v", "w") == [(2, "a")]
+    many = frame([(1 if n % 3 == 0 else n, n) for n in range(300)], "k long, v int")
+    sides = frame([(f"CUST-{n}", n) for n in range(300)] + [("CUST-1", 1000)], "id string, w int")
+    plain, salted = (values(keys.repaired_join(many, "k", sides, "id", "CUST-", share), "v", "w") for share in (None, 0.2))
+    assert plain == salted and len(plain) == 401
+    with pytest.raises(ValueError, match="hot_share"):
+        keys.repaired_join(many, "k", sides, "id", "CUST-", 0)

@@ -147,3 +147,13 @@ def test_reasoning_before_a_labelled_call(frame):
     df = frame([(i, CALLS[i]) for i in (1, 4, 5)], "id int, text string")
     rows = {r.id: r.reasoning for r in labelled_calls(df).collect()}
     assert rows == {1: "I look first.", 4: CALLS[4], 5: "no call"}
+
+
+def test_null_answers_and_arguments_that_are_no_object_keep_their_rows(frame):
+    df = frame(
+        [(1, None), (2, 'TOOL_CALL: {"tool": "run", "args": [1, 2]}'), (3, '{"name": "run", "arguments": "all"}'), (4, "no call")],
+        "id int, text string",
+    )
+    got = {r.id: (r.tool, r.arguments, r.reasoning) for r in tool_calls(df).collect()}
+    assert got[1] == (None, None, None) and got[4] == (None, None, "no call")
+    assert got[2][:2] == ("run", {"value": "[1,2]"}) and got[3][:2] == ("run", {"value": "all"})

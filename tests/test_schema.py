@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipecheck.functions.types import is_widening, safe_cast, sql_name
+from pipecheck.functions.types import is_widening, safe_cast, schema_from_ddl, sql_name
 from pipecheck.operators import align, quality, schema
 from pipecheck.operators.samples import smallest_distinct, smallest_distinct_each
 from tests.conftest import values
@@ -175,3 +175,19 @@ def test_align(frame):
     bad = frame([("CUST-1", 2.5, "x")], "id string, total_amount double, junk string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         align.align_to_schema(bad, dest, {"total_amount": "amount"}, {"region": "U"}).collect()
+
+
+def test_samples_and_shapes_do_not_sort_their_tables(spark, tmp_path):
+    """Minima of texts are taken of numbers first, or of values that were made distinct."""
+    spark.createDataFrame([(f"v{n % 7}", n) for n in range(50)], "a string, b int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plan = schema.sample_values(df, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert [r.value for r in schema.sample_values(df, "a", 3).collect()] == ["v0", "v1", "v2"]
+
+
+def test_unrelated_columns_are_never_paired(spark):
+    source = spark.createDataFrame([], ", ".join(f"s{n}x int" for n in range(200)))
+    dest = schema_from_ddl(", ".join(f"d{n}y INTEGER" for n in range(200)))
+    assert align.rename_candidates(source, dest).count() == 0
+    assert align.missing_columns(source, dest).count() == 200

@@ -211,3 +211,10 @@ def test_manifest_and_expected_fixes(spark, tmp_path):
     (tmp_path / "fixes.json").write_text('{"case_id": "a", "root_cause": "x"}\n{"case_id": "b", "root_cause": "y"}\n')
     lines = specs.read_expected_fixes(spark, str(tmp_path / "fixes.json"), per_line=True)
     assert values(lines, "case_id", "root_cause") == [("a", "x"), ("b", "y")]
+
+
+def test_empty_files_have_a_preview(spark, tmp_path):
+    (tmp_path / "full.txt").write_text("one\ntwo\n")
+    (tmp_path / "empty.txt").write_text("")
+    got = {r.path.rsplit("/", 1)[1]: (r.preview, r.total_chars, r.truncated) for r in logs.preview_files(spark, str(tmp_path)).collect()}
+    assert got == {"full.txt": ("one\ntwo\n", 8, False), "empty.txt": ("", 0, False)}
