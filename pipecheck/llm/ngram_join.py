@@ -19,6 +19,8 @@ WORDS = 5
 PERCENT = 80
 # Frequencies are counted in 2^BITS hashed cells.
 BITS = 18
+# Documents in pairs are looked up by a table of 2^MARK_BITS bits before their texts go on.
+MARK_BITS = 23
 # The suffix filter compares how many n-grams of each text fall into so many hashed parts.
 PARTS = 32
 
@@ -51,9 +53,8 @@ class Shingler:
         n = len(own) - size + 1
         keys = np.full(n, size, dtype=np.uint64)
         for k in range(size):
-            keys = (keys ^ (keys >> np.uint64(29))) * _ODD[k] + own[k : k + n]
-        keys = (keys ^ (keys >> np.uint64(32))) * _ODD[0]
-        return np.unique(keys ^ (keys >> np.uint64(29)))
+            keys += own[k : k + n] * _ODD[k]
+        return np.unique(keys)
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
@@ -130,11 +131,26 @@ def _least_shared(n: Column, m: Column) -> Column:
 def _could(a: str, b: str) -> Column:
     """Length and positional filter of two entries (n, pos from 0) of one n-gram.
 
-    The sets share at most what stands before it in both orders, the n-gram, and what stands behind it in both.
+    Similar sets meet in the first n-gram, in the common order, that they share. All they share stands there or
+    behind it in both, so it must leave enough room in both. A later common n-gram need not bring the pair again.
     """
     n, m, p, q = (F.col(f"{e}.{f}") for f in ("n", "pos") for e in (a, b))
     length = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    return length & (F.least(p, q) + 1 + F.least(n - p, m - q) - 1 >= _least_shared(n, m))
+    return length & (F.least(n - p, m - q) >= _least_shared(n, m))
+
+
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that may be in ``wanted`` (doc_id): all that are, and few others.
+
+    The wanted ids are marked in a table of at most 2^MARK_BITS bits, 64 a row: the bound of the broadcast, whatever the input. So the
+    texts of other documents are dropped where they are read.
+    """
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    bit = F.expr("shiftleft(1L, cast(pmod(cell, 64) as int))")
+    marks = wanted.select(cell.alias("cell")).groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = docs.withColumn("cell", cell).withColumn("of_word", F.expr("cell div 64"))
+    met = placed.join(F.broadcast(marks), F.col("of_word") == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0)
+    return met.select(*docs.columns)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -155,8 +171,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "keys": [shingles(t).astype(np.int64) for t in batch["text"]]})
 
     wanted = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    keys = written(texts.mapInPandas(sets, "doc_id long, keys array<long>").dropDuplicates(["doc_id"]), "shingle-sets")
+    texts = marked(docs.select("doc_id", "text"), wanted)
+    keys = texts.mapInPandas(sets, "doc_id long, keys array<long>").dropDuplicates(["doc_id"])
+    keys = written(keys, "shingle-sets")
     met = left.join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("a_keys")), "a").join(
         keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("b_keys")), "b"
     )
@@ -186,32 +203,34 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rare = written(
         prefixes(docs, counts).dropDuplicates(["doc_id"]).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "prefixes"
     )
-    # pos counts from 0; n and pos of an entry go as one struct with its document.
-    entries = rare.select("doc_id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("doc_id", "n", "pos").alias("e"))
-    centres = entries.groupBy("key").agg(F.min("e").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
-    met = written(entries.join(centres, "key").select("key", "e", "c"), "shared-prefixes")
-    first = (
+    # An entry's place and document as one number: the smallest is the centre, the document with the fewest rarer n-grams.
+    entries = rare.select("doc_id", "n", F.posexplode("prefix").alias("pos", "key")).select(
+        "key", F.struct("doc_id", "n", "pos").alias("e"),
+        (F.shiftleft(F.col("pos").cast("long"), 40) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).alias("place"),
+    )
+    centres = entries.groupBy("key").agg(F.min("place").alias("least"), F.count("*").alias("size")).filter("size > 1").select("key", "least")
+    members = written(entries.join(centres, "key").select("key", "e", (F.col("place") == F.col("least")).alias("central")), "shared-prefixes")
+    met = members.join(members.filter("central").select("key", F.col("e").alias("c")), "key").select("key", "e", "c")
+    first = written(
         met.filter("e.doc_id <> c.doc_id")
         .filter(_could("e", "c"))
-        .select(F.col("c.doc_id").alias("a"), F.col("e.doc_id").alias("b"))
-        .distinct()
+        .select(F.least("c.doc_id", "e.doc_id").alias("a"), F.greatest("c.doc_id", "e.doc_id").alias("b"))
+        .distinct(),
+        "pairs-with-centres",
     )
     first_links = written(verified(first, docs, rare), "links-to-centres")
     own = components(first_links)
-    # Second round: entries with their component.
-    of = own.select(F.col("node"), "component")
-    in_part = met.select("key", "e", F.col("c.doc_id").alias("centre"), F.col("e.doc_id").alias("of_doc"))
-    placed = (
-        in_part.join(of, F.col("of_doc") == F.col("node"), "left")
-        .select("key", "e", "centre", F.coalesce("component", "of_doc").alias("component"))
-    )
-    centre_part = placed.filter("e.doc_id = centre").select("key", F.col("component").alias("main"))
-    with_main = placed.join(centre_part, "key")
-    outside = with_main.filter("component <> main").select("key", F.col("e").alias("x"), F.col("component").alias("x_part"), "main")
-    outside = written(outside, "outside-entries")
-    mixed = placed.join(outside.select("key").distinct(), "key", "left_semi").select("key", F.col("e").alias("y"), F.col("component").alias("y_part"))
+    # Second round: entries with their component and that of a centre of theirs.
+    placed = members.select("key", "e", "central", F.col("e.doc_id").alias("of_doc")).join(own, F.col("of_doc") == F.col("node"), "left")
+    placed = placed.select("key", "e", "central", F.coalesce("component", "of_doc").alias("part"))
+    mains = placed.groupBy("key").agg(
+        F.min(F.when(F.col("central"), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")
+    ).filter("low < high").select("key", "main")
+    mixed = written(placed.join(mains, "key").select("key", "e", "part", "main"), "mixed-entries")
+    outside = mixed.filter("part <> main").select("key", F.col("e").alias("x"), F.col("part").alias("x_part"))
+    others = mixed.select("key", F.col("e").alias("y"), F.col("part").alias("y_part"), "main")
     second = (
-        outside.join(mixed, "key")
+        outside.join(others, "key")
         .filter("x_part <> y_part and (y_part = main or x.doc_id < y.doc_id)")
         .filter(_could("x", "y"))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
