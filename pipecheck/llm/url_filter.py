@@ -93,7 +93,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
 
 def _shrink(hosts: DataFrame, z: float) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()  # one row
-    base = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
+    # Without any outcome there is no evidence of bad pages.
+    base = (total["bad"] + 0.5) / (total["n"] + 1.0) if total["n"] else 0.0
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("parent", F.lit(base))
     suffix_means = _posterior(suffixes, _rho(suffixes)).select("suffix", F.col("mean").alias("parent"))
@@ -168,7 +169,7 @@ WITH found AS (
     count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad
   FROM found LEFT JOIN known USING (page_id) GROUP BY host
 ), suffixes AS (
-  SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM hosts) AS parent
+  SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) ELSE 0 END FROM hosts) AS parent
   FROM hosts GROUP BY suffix
 ), suffix_weight AS (SELECT 1 / {_sql_rho("suffixes")} - 1 AS w
 ), domains AS (
