@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table, with_fields, without
+from pipecheck.llm.common import hash_cut, hash_order, table, with_fields, without
 
 BITS = 18
 # Bounds of the training sample: rows of either kind, those of the smallest hash.
@@ -92,14 +92,14 @@ def fit(positive: list, unlabelled: list, prior: float, bits: int = BITS) -> tup
     if not positive or not unlabelled:
         return weights, bias
     keep = _screened(positive, unlabelled, 1 << bits)
-    place = np.full(1 << bits, -1)
+    place = np.full(1 << bits, -1, dtype=np.int32)
     place[keep] = np.arange(len(keep))
-    sample = positive + unlabelled
     n_p, n_u = len(positive), len(unlabelled)
-    row = np.repeat(np.arange(n_p + n_u), [len(i) for i, _ in sample])
-    column = place[np.concatenate([i for i, _ in sample]).astype(np.int64)]
-    value = np.concatenate([v for _, v in sample])
-    row, column, value = row[column >= 0], column[column >= 0], value[column >= 0]
+    # Only the screened features of each text go on.
+    cells = [(place[i][place[i] >= 0], v[place[i] >= 0]) for i, v in positive + unlabelled]
+    row = np.repeat(np.arange(n_p + n_u), [len(i) for i, _ in cells])
+    column = np.concatenate([i for i, _ in cells])
+    value = np.concatenate([v for _, v in cells]).astype(np.float64)
     x = np.zeros(len(keep) + 1)
     x[-1] = bias
     first, second = np.zeros_like(x), np.zeros_like(x)
@@ -130,7 +130,9 @@ def in_fold(key: Column, folds: int = 5) -> Column:
 def _sampled(docs: DataFrame, keys: DataFrame, most: int) -> list:
     """Features of the texts of at most ``most`` keys (doc_id), those of the smallest hash."""
     short = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST)
-    chosen = short.select("doc_id").join(keys, "doc_id", "left_semi").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    cut = hash_cut(keys.select("doc_id"), "doc_id", keys.count(), most)
+    known = short.select("doc_id").join(cut, "doc_id", "left_semi").distinct()
+    chosen = known.orderBy(hash_order("doc_id"), "doc_id").limit(most)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -140,8 +142,11 @@ def _sampled(docs: DataFrame, keys: DataFrame, most: int) -> list:
 
     # At most ``most`` ids: the bound of this broadcast and of what comes to the driver.
     texts = short.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    got = texts.mapInPandas(features, "i array<int>, v array<float>").toPandas()
-    return [(np.asarray(i, dtype=np.int64), np.asarray(v, dtype=np.float64)) for i, v in zip(got["i"], got["v"], strict=True)]
+    got = texts.mapInPandas(features, "i array<int>, v array<float>").toArrow()
+    return [
+        (i.values.to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False))
+        for i, v in zip(got["i"], got["v"], strict=True)
+    ]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
