@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table
+from pipecheck.llm.common import hash_cut, hash_order, table
 from pipecheck.session import shared_path, written
 
 # Fixed values of the formats.
@@ -98,10 +98,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     the response; rows that repeat its page_id and payload are responses too. Null html is an empty payload.
     Texts meet their reference by page_id, never by digest: a payload of a third of the pages stays spread.
     """
-    sample = (
-        pages.filter("html is not null").orderBy(F.xxhash64("html")).limit(SAMPLE_ROWS)
-        .select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("b")).collect()
-    )  # at most SAMPLE_ROWS * SAMPLE_BYTES
+    starts = pages.select("page_id", F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("b")).filter("b is not null")
+    cut = hash_cut(starts, "page_id", pages.count(), SAMPLE_ROWS)
+    sample = cut.orderBy(hash_order("page_id")).limit(SAMPLE_ROWS).select("b").collect()  # at most SAMPLE_ROWS * SAMPLE_BYTES
     dictionary = train_dictionary([bytes(r["b"]) for r in sample])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
