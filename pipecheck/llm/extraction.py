@@ -38,10 +38,10 @@ PATH, WORDS, MORE, HIDDEN_SIZE = 256, 48, 3, 24
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 160, 40000, 120
 EPOCHS, BATCH, RATE = 14, 32, 0.01
 
-# A comment; a tag with its attributes, where > may stand in quotes; anything else in tag brackets.
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,256}+)>|<[a-zA-Z!?/][^<>]*+>", re.S
-)
+# A comment; the start of a tag up to its first quote or to its end; anything else in tag brackets.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)[^<>\"']*+(>)?|<[!?/][^<>]*+>", re.S)
+_PLAIN = re.compile(r"[^<>\"']*+")
+_BRACKETS = re.compile(r"<[^<>]*+>")
 _CUT_OFF = re.compile(r"<[a-zA-Z!?/][^<>]*+\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -49,6 +49,39 @@ _PART = re.compile(r"[a-z]+")
 Path = tuple[tuple[str, tuple[str, ...]], ...]
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the > of the tag stands whose attributes go on at ``at``, > in quotes aside; -1 if another tag or the end comes first.
+
+    ``dead`` keeps the opening quotes, over the whole page, from which no end was found: none is tried twice, so the time is linear in the
+    page, however long, many or open its quotes are.
+    """
+    seen: list[int] = []
+    while (at := _PLAIN.match(page, at).end()) < len(page) and page[at] != "<" and at not in dead:
+        if page[at] == ">":
+            return at
+        seen.append(at)
+        close = page.find(page[at], at + 1)
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(seen)
+    return -1
+
+
+def _next_tag(page: str, at: int, dead: set[int]) -> tuple[int, int, str, str | None, str] | None:
+    """Start, end, slash, name and attributes of the next tag or comment from ``at`` on; comments and what has no end as a tag have no name."""
+    while tag := _TAG.search(page, at):
+        if tag[2] is None:
+            return tag.start(), tag.end(), "", None, ""
+        end = tag.end() - 1 if tag[3] else _tag_end(page, tag.end(), dead)
+        if end >= 0:
+            return tag.start(), end + 1, tag[1], tag[2], page[tag.end(2) : end]
+        if brackets := _BRACKETS.match(page, tag.start()):
+            return tag.start(), brackets.end(), "", None, ""
+        at = tag.start() + 1
+    return None
+
+
 def leaves(page: str | None) -> list[tuple[Path, str, float]]:
     """Path, text and share of linked characters of every block with text, in page order.
 
@@ -72,32 +105,33 @@ def leaves(page: str | None) -> list[tuple[Path, str, float]]:
         linked = 0
 
     page, at, links = page or "", 0, 0
+    dead: set[int] = set()
     while at < len(page):
-        tag = _TAG.search(page, at)
-        text = page[at : tag.start()] if tag else _CUT_OFF.sub("", page[at:])
+        tag = _next_tag(page, at, dead)
+        text = page[at : tag[0]] if tag else _CUT_OFF.sub("", page[at:])
         if text:
             parts.append(text)
             linked += len(text) if links else 0
         if not tag:
             break
-        at = tag.end()
-        if tag[2] is None:
+        _, at, slash, name, attributes = tag
+        if name is None:
             continue
-        name = tag[2].lower()
+        name = name.lower()
         if name == "a":
-            links = 0 if tag[1] else 1
+            links = 0 if slash else 1
         if name in INLINE:
             if name in ("br", "img"):
                 parts.append(" ")
             continue
         flush()
-        if tag[1]:
+        if slash:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
             continue
-        if name in HIDDEN and not tag[3].endswith("/"):
+        if name in HIDDEN and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -106,7 +140,7 @@ def leaves(page: str | None) -> list[tuple[Path, str, float]]:
             if stack and stack[-1][0] == closes:
                 stack.pop()
         if name not in VOID:
-            names = tuple(_PART.findall(" ".join(_NAMES.findall(tag[3])).lower())) if tag[3].strip() else ()
+            names = tuple(_PART.findall(" ".join(_NAMES.findall(attributes)).lower())) if attributes.strip() else ()
             stack.append((name, names))
     flush()
     return out

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -55,6 +57,35 @@ def test_blocks():
     assert path == (("div", ("main", "a", "b", "c")), ("p", ())) and linked == 1.0
 
 
+def test_long_and_many_attributes():
+    rest = '><p>one</p></div><div class="b">two</div>'
+    plain = x.leaves('<body><div class="ad"' + rest)
+    assert [path[-1] for path, _, _ in plain] == [("p", ()), ("div", ("b",))]
+    for more in (f'x="{"5" * 5000}"', f"x='{'a > b ' * 1000}'", f'x="{"<p>in</p>" * 500}"', " ".join(f'x{k}="{k}>"' for k in range(300))):
+        assert x.leaves(f'<body><div class="ad" {more}{rest}') == plain
+        assert x.leaves(f'<body><div {more} class="ad"{rest}') == plain
+        assert texts(f"a<script {more}>var b='<p>';</script><style {more}>p{{}}</style>c<p>d</p {more}>e") == ["a", "c", "d", "e"]
+
+
+def test_tags_are_those_of_the_unbounded_pattern():
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z!?/][^<>]*+>", re.S)
+    rng = random.Random(5)
+    for _ in range(20000):
+        html = "".join(rng.choice(["<", ">", '"', "'", "/", "p", "<p", "</p>", "<b ", "=", " ", "!", "<!--", "-->", "\n"]) for _ in range(rng.randrange(40)))
+        got, at, dead = [], 0, set()
+        while own := x._next_tag(html, at, dead):
+            got.append(own)
+            at = own[1]
+        assert got == [(m.start(), m.end(), m[1] or "", m[2], m[3] or "") for m in tag.finditer(html)], html
+
+
+def test_open_quotes_take_linear_time():
+    for piece in ('<a" "', "<a' \"", '<a" \'" ', '<p a="', "<p '\"", '<p "" ', "<p ''\"\"<"):
+        start = time.process_time()
+        x.leaves(piece * 100000)
+        assert time.process_time() - start < 10, piece
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = x.Labeller()
