@@ -357,12 +357,34 @@ def training_pages(blocks: list[list[tuple[Path, str, float]]], seed: int = 1) -
     return out
 
 
+def _teaches(blocks: list[tuple[Path, str, float]]) -> bool:
+    return len(blocks) <= SAMPLE_BLOCKS and any(is_main(path) for path, _, _ in blocks)
+
+
+def training_sample(pages: DataFrame) -> list[str]:
+    """The SAMPLE_PAGES different pages of the smallest hash that can teach; all if there are fewer, wherever they stand.
+
+    A page can teach if it has main text by its article or main elements and is within the bounds of characters and blocks. The cut
+    by hash is among pages that name such an element, and is widened as long as too few of it can teach.
+    """
+    named = pages.select("html").filter(F.length("html").between(1, SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)"))
+
+    def teaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[_teaches(leaves(page)) for page in batch["html"]]]
+
+    rows, most = named.count(), SAMPLE_PAGES
+    while True:
+        found = hash_cut(named, "html", rows, most).mapInPandas(teaching, "html string").distinct()
+        sample = found.orderBy(hash_order("html")).limit(SAMPLE_PAGES).collect()  # the bound of the sample
+        if len(sample) == SAMPLE_PAGES or 8 * most >= rows:
+            return [r["html"] for r in sample]
+        most *= 8
+
+
 def fit_labeller(pages: DataFrame) -> Labeller | None:
-    """A labeller trained on SAMPLE_PAGES of ``pages`` (html); none if no sample page has an article or main element."""
-    cut = hash_cut(pages.select("html"), "html", pages.count(), SAMPLE_PAGES)
-    short = cut.filter(F.length("html").between(1, SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
-    sample = short.distinct().orderBy(hash_order("html")).limit(SAMPLE_PAGES).collect()  # the bound of the sample
-    blocks = [b for b in (leaves(r["html"]) for r in sample) if len(b) <= SAMPLE_BLOCKS and any(is_main(path) for path, _, _ in b)]
+    """A labeller trained on SAMPLE_PAGES of ``pages`` (html); none if no page at all can teach (training_sample)."""
+    blocks = [leaves(page) for page in training_sample(pages)]
     if not blocks:
         return None
     labeller = Labeller()

@@ -44,6 +44,20 @@ def test_odd_pages(spark):
     assert x.extract_text(df.limit(0), None).count() == 0
 
 
+def test_sample_is_of_pages_that_can_teach(spark, monkeypatch):
+    monkeypatch.setattr(x, "SAMPLE_PAGES", 4)
+    good = [f"<body><{tag}><p>text {n}</p></{tag.split()[0]}>" for n, tag in enumerate(["article", "main", "ARTICLE\nid=a", "article class=b"] * 2)]
+    long = ["<article>" + "<p>a</p>" * 130 + f"{n}</article>" for n in range(60)] + [f"<article>{'word ' * 9000}{n}</article>" for n in range(9)]
+    none = [f"<div>text {n}</div>" for n in range(900)] + [f"<nav><article>text {n}</article></nav>" for n in range(60)] + [None, ""]
+    taught = []
+    monkeypatch.setattr(x, "training_pages", lambda blocks: taught.append(blocks) or [])
+    for own in (good, good[:3], good + good):
+        df = spark.createDataFrame([(h,) for h in none + long + own], "html string")
+        assert x.fit_labeller(df) is not None
+        order = [r["html"] for r in spark.createDataFrame([(h,) for h in set(own)], "html string").orderBy(x.hash_order("html")).collect()]
+        assert taught.pop() == [x.leaves(h) for h in order[:4]]
+
+
 def texts(html):
     return [t for _, t, _ in x.leaves(html)]
 
