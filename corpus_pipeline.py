@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pipecheck.llm.common import table
 from pipecheck.llm.decontamination import contamination
 from pipecheck.llm.line_dedup import dedup_lines
-from pipecheck.llm.mixing import mix_sources
+from pipecheck.llm.mixing import emitted, mix_sources
 from pipecheck.llm.ngram_join import similar_groups
 from pipecheck.llm.toxicity import fit_toxicity, score_toxicity
 from pipecheck.session import shared_path
@@ -73,4 +73,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus itself: the documents of ``run``, each as often as its copies say, with copy from 1 on."""
+    return emitted(run(spark, sf_dir))
+
+
 QUERIES = {"pipeline": (run, ORACLE_SQL)}

@@ -92,6 +92,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     return met.select(*(F.col(f"`{c}`") for c in rest.columns), *outputs)
 
 
+def emitted(mix: DataFrame) -> DataFrame:
+    """The corpus that ``mix`` (mix_sources) plans: each row ``copies`` times, none for 0, with copy from 1 on. A clashing copy is replaced."""
+    return without(mix, ["copy"]).filter("copies > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+
+
 def document_copies(sized: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of frame doc_id, source, size.
 

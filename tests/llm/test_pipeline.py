@@ -54,6 +54,18 @@ def test_stages(spark, folder):
     assert run == {n: r.asDict() for n, r in mixed.items()}
 
 
+def test_corpus_has_each_document_as_often_as_planned(spark, folder):
+    plan = {r["doc_id"]: r.asDict() for r in corpus_pipeline.run(spark, folder).collect()}
+    rows = [r.asDict() for r in corpus_pipeline.corpus(spark, folder).collect()]
+    want = [(n, k) for n, r in plan.items() for k in range(1, r["copies"] + 1)]
+    assert sorted((r["doc_id"], r.pop("copy")) for r in rows) == sorted(want) and all(r == plan[r["doc_id"]] for r in rows)
+    assert {r["copies"] for r in plan.values()} >= {0, 2}
+    for source in {r["source"] for r in plan.values()}:
+        own = [r for r in plan.values() if r["source"] == source]
+        size = sum(r["size"] for r in rows if r["source"] == source)
+        assert abs(size - own[0]["target"]) <= 3 * max(r["size"] for r in own)
+
+
 def test_no_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
