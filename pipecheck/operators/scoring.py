@@ -21,6 +21,13 @@ def filter_cases(cases: DataFrame, prefix: str = "", id_column: str = "id") -> D
     return cases.filter(F.startswith(F.col(id_column), F.lit(prefix))) if prefix else cases
 
 
+def available_cases(cases: DataFrame, prefix: str = "", id_column: str = "id") -> DataFrame:
+    """All different case ids if the prefix meets none of them, to be listed for the caller; no rows if it meets any."""
+    ids = cases.select(id_column).filter(F.col(id_column).isNotNull()).distinct()
+    hit = filter_cases(ids, prefix, id_column).limit(1).select(F.lit(True).alias("hit"))
+    return ids.join(hit, F.col("hit"), "left_anti")
+
+
 def match_all(
     predicted: DataFrame,
     expected: DataFrame,

@@ -128,6 +128,14 @@ def test_case_filter(frame):
     assert scoring.filter_cases(df).count() == 3 and scoring.filter_cases(df, "x").count() == 0
 
 
+def test_available_cases(frame):
+    df = frame([("case_01_a",), ("case_02_b",), ("case_02_b",), (None,)], "id string")
+    assert values(scoring.available_cases(df, "x")) == [("case_01_a",), ("case_02_b",)]
+    assert scoring.available_cases(df, "case_0").count() == scoring.available_cases(df).count() == 0
+    assert scoring.available_cases(df.limit(0), "x").count() == 0
+    assert values(scoring.available_cases(df.withColumnRenamed("id", "case_id"), "case_1", "case_id")) == [("case_01_a",), ("case_02_b",)]
+
+
 def test_iterations(frame):
     df = frame([("m", 0, 0.25, 0.25), ("m", 1, 0.5, 0.5), ("m", 2, 0.75, 0.5), ("n", 0, 1.0, 1.0)],
                "model string, iteration int, diagnosis_accuracy double, fix_accuracy double")
