@@ -130,7 +130,7 @@ def proximity_matches(index: DataFrame, ranked: DataFrame, slack: int) -> DataFr
     return full.select("doc_id", "first", "start", "size").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS, slack: int | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids, contaminated of every document of ``docs`` (doc_id, text).
 
     A word is hit if it lies in an occurrence of a window of ``items`` (item_id, text). ``item_ids`` are sorted as strings.
@@ -138,11 +138,15 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFram
     document with the positions of all of them, and give one row each; a null doc_id gives a row without hits.
     Null item ids are left out of lists, their windows still hit. No items: nothing is hit. Other columns of
     the inputs are not read.
+
+    With ``slack``, n_near follows: the number of places that have all words of a window within its size + slack positions
+    (proximity_matches), phrases included. It changes no other column.
     """
     windows = test_windows(items, n)
     terms = written(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
     index = build_index(docs, terms)
-    matches = written(phrase_matches(index, ranked_terms(windows, index)), "phrase-matches")
+    ranked = ranked_terms(windows, index)
+    matches = written(phrase_matches(index, ranked), "phrase-matches")
     # Words covered by overlapping occurrences, counted once: each adds what lies past all earlier ends.
     ends = matches.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     earlier = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +160,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFram
         .agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("found_items"))
     )
     lengths = index.filter("term is null").select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    return (
+    exact = (
         lengths.join(hits, F.col("doc_id") == F.col("h_doc"), "left")
         .join(found, F.col("doc_id") == F.col("i_doc"), "left")
         .select(
@@ -168,6 +172,11 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFram
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         )
     )
+    if slack is None:
+        return exact
+    near = proximity_matches(index, ranked, slack).groupBy(F.col("doc_id").alias("p_doc")).agg(F.count("*").alias("near"))
+    met = exact.join(near, F.col("doc_id") == F.col("p_doc"), "left")
+    return met.select(*exact.columns, F.coalesce("near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

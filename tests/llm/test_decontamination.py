@@ -76,3 +76,24 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in d.phrase_matches(index, ranked).collect()} == set()
     assert {(r["doc_id"], r["start"]) for r in d.proximity_matches(index, ranked, 2).collect()} == {(0, 1), (1, 0), (5, 0)}
     assert {r["doc_id"] for r in d.proximity_matches(index, ranked, 1).collect()} == {1, 5}
+
+
+def brute_near(texts, passages, slack, n=10):
+    windows = {tuple(p[k : k + n]) for p in map(words, passages) for k in range(max(1, len(p) - n + 1) if p else 0)}
+    out = {}
+    for doc, text in enumerate(texts):
+        w = words(text)
+        out[doc] = sum(w[at] in own and set(own) <= set(w[at : at + len(own) + slack]) for own in windows for at in range(len(w)))
+    return out
+
+
+def test_proximity_of_the_whole_table_against_brute_force(spark):
+    docs, items, texts, passages = case(spark, 9)
+    exact = {r["doc_id"]: r.asDict() for r in d.contamination(docs, items).collect()}
+    for slack in (0, 3):
+        got = {r["doc_id"]: r.asDict() for r in d.contamination(docs, items, slack=slack).collect()}
+        near = {n: r.pop("n_near") for n, r in got.items()}
+        assert got == exact and near == brute_near(texts, passages, slack)
+        assert any(near[n] and not r["contaminated"] for n, r in exact.items()) and all(near[n] for n, r in exact.items() if r["contaminated"])
+    assert d.contamination(docs.limit(0), items, slack=1).count() == 0
+    assert d.contamination(docs, items.limit(0), slack=1).filter("n_near > 0").count() == 0
