@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pipecheck.operators.align import align_to_schema
-from pipecheck.session import staging_table
+from pipecheck.session import shared_path, staging_table, written
 from pipecheck.sources.sink import append
 
 # Outcomes of a check.
@@ -26,7 +26,11 @@ LOST = "_lost_values"
 # Fixed value: INSERT text with a SELECT; parts are table, columns, query.
 INSERT = re.compile(r"^\s*INSERT\s+INTO\s+([\w.]+)\s*(?:\(([^)]*)\))?\s*((?:SELECT|WITH)\b.*)$", re.IGNORECASE | re.DOTALL)
 
-CHECKS = "case_id string, model string, fix_error string, check_error string, cnt bigint"
+TEXTS = ["fixed_sql", "verification_query"]
+OUTCOMES = "of_fix string, of_check string, fix_error string, check_error string, cnt bigint"
+
+# Outcomes of so many texts go to the shared folder as one file.
+OUTCOME_ROWS = 100
 
 APPLIED = (
     "status string, staged_rows bigint, checked_rows bigint, lost_values bigint, appended_rows bigint, "
@@ -145,29 +149,45 @@ def score_fixes(spark: SparkSession, reports: DataFrame, table: str, dest: T.Str
 
     ``reports(case_id, model, fixed_sql, verification_query)``. Each repair fills an empty
     table of its own in place of ``table``, which stays as it is; its check reads that one. A failure keeps its text.
-    The texts of the reports come to the driver, as each is a job of its own: meant for
-    the cases of an evaluation. The rows they insert are never collected.
+    Each distinct pair of texts is run once, as jobs of its own, and its outcome goes to all reports that have it. The pairs
+    come to the driver a partition at a time and outcomes are written as they come; neither reports nor inserted rows are collected.
     """
-    rows = []
-    for report in reports.select("case_id", "model", "fixed_sql", "verification_query").collect():
-        staged = staging_table(spark, "fix")
-        fix_error = check_error = count = None
-
-        def placed(text: str | None, own: str = staged) -> str:
-            return re.sub(rf"\b{re.escape(table)}\b", own, text or "", flags=re.IGNORECASE)
+    rows = written(reports.select("case_id", "model", *TEXTS), "fix-reports")
+    texts = written(rows.select(*TEXTS).distinct(), "fix-texts")
+    path = shared_path(spark, "fix-outcomes")
+    spark.createDataFrame([], OUTCOMES).write.parquet(path)
+    batch = []
+    for pair in texts.toLocalIterator():
+        batch.append((pair.fixed_sql, pair.verification_query, *_fix_outcome(spark, pair.fixed_sql, pair.verification_query, table, dest)))
+        if len(batch) == OUTCOME_ROWS:
+            spark.createDataFrame(batch, OUTCOMES).coalesce(1).write.mode("append").parquet(path)
+            batch = []
+    if batch:
+        spark.createDataFrame(batch, OUTCOMES).coalesce(1).write.mode("append").parquet(path)
+    found = spark.read.schema(OUTCOMES).parquet(path)
+    same = F.col("fixed_sql").eqNullSafe(F.col("of_fix")) & F.col("verification_query").eqNullSafe(F.col("of_check"))
+    return rows.join(found, same).select("case_id", "model", "fix_error", "check_error", "cnt")
+
+
+def _fix_outcome(spark: SparkSession, fix: str | None, check: str | None, table: str, dest: T.StructType) -> tuple[str | None, str | None, int | None]:
+    """fix_error, check_error, cnt of one repair and its check."""
+    staged = staging_table(spark, "fix")
+    fix_error = check_error = count = None
+
+    def placed(text: str | None) -> str:
+        return re.sub(rf"\b{re.escape(table)}\b", staged, text or "", flags=re.IGNORECASE)
 
+    try:
+        spark.createDataFrame([], dest).write.format("parquet").saveAsTable(staged)
         try:
-            spark.createDataFrame([], dest).write.format("parquet").saveAsTable(staged)
+            run_insert(spark, placed(fix))
+        except (PySparkException, ValueError) as problem:
+            fix_error = str(problem).splitlines()[0]
+        if fix_error is None and placed(check).strip():
             try:
-                run_insert(spark, placed(report.fixed_sql))
-            except (PySparkException, ValueError) as problem:
-                fix_error = str(problem).splitlines()[0]
-            if fix_error is None and placed(report.verification_query).strip():
-                try:
-                    count = first_count(spark.sql(placed(report.verification_query)))
-                except PySparkException as problem:
-                    check_error = str(problem).splitlines()[0]
-        finally:
-            spark.sql(f"DROP TABLE IF EXISTS {staged}")
-        rows.append((report.case_id, report.model, fix_error, check_error, count))
-    return spark.createDataFrame(rows, CHECKS)
+                count = first_count(spark.sql(placed(check)))
+            except PySparkException as problem:
+                check_error = str(problem).splitlines()[0]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+    return fix_error, check_error, count

@@ -74,3 +74,22 @@ def test_wrong_columns_are_an_error(spark, frame, dest):
 def test_without_a_check_it_is_unverified(spark, frame, dest):
     row = verify.apply_repair(frame([(1, "a")], "id int, region string"), dest).first()
     assert (row.status, row.appended_rows) == ("unverified", 1)
+
+
+def test_equal_fixes_run_once(spark, monkeypatch):
+    from pipecheck.operators import verify as v
+
+    spark.createDataFrame([(1,), (2,)], "n int").createOrReplaceTempView("once_from")
+    spark.createDataFrame([], "n int").write.mode("overwrite").saveAsTable("once_into")
+    dest, run, texts = spark.table("once_into").schema, v.run_insert, []
+    monkeypatch.setattr(v, "run_insert", lambda session, text: texts.append(text) or run(session, text))
+    monkeypatch.setattr(v, "OUTCOME_ROWS", 2)
+    fixes = [("INSERT INTO once_into SELECT n FROM once_from", "SELECT COUNT(*) FROM once_into"), ("nonsense", None), (None, None),
+             ("INSERT INTO once_into SELECT n FROM once_from WHERE n > 1", "SELECT COUNT(*) FROM once_into"), ("INSERT INTO once_into SELECT 1", "SELECT x FROM once_into")]
+    columns = "case_id string, model string, fixed_sql string, verification_query string"
+    reports = spark.createDataFrame([(f"c{n}", "m", *fixes[n % 5]) for n in range(40)], columns)
+    rows = v.score_fixes(spark, reports, "once_into", dest).collect()
+    assert len(texts) == 5 and sorted(r.case_id for r in rows) == sorted(f"c{n}" for n in range(40))
+    want = [(False, False, 2), (True, False, None), (True, False, None), (False, False, 1), (False, True, None)]
+    assert all((r.fix_error is not None, r.check_error is not None, r.cnt) == want[int(r.case_id[1:]) % 5] for r in rows)
+    assert v.score_fixes(spark, reports.limit(0), "once_into", dest).count() == 0 and spark.table("once_into").count() == 0
