@@ -45,10 +45,9 @@ def climbed(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> Dat
     left changes nothing. Each row keeps its own way up, so the rows of a parent hold the same hash.
     """
     span = fanout**levels
-    rows = nodes.withColumn("block", F.expr(f"place div {span}"))
-    for k in range(levels, 0, -1):
-        rows = rows.withColumn(f"up{k}", F.expr(f"place div {fanout**k}"))
-    rows = rows.repartition("g", "block").withColumns({"top": F.col("node"), "path": F.array().cast(STEPS)})
+    ups = {f"up{k}": F.expr(f"place div {fanout**k}") for k in range(levels, 0, -1)}
+    start = {"block": F.expr(f"place div {span}"), **ups, "top": F.col("node"), "path": F.array().cast(STEPS)}
+    rows = nodes.withColumns(start).repartition("g", "block")
     for k in range(levels):
         family = ", ".join(["g", "block", *(f"up{j}" for j in range(levels, k, -1))])
         slot = F.expr(f"(place div {fanout**k}) % {fanout}")
@@ -67,8 +66,8 @@ def climbed(nodes: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> Dat
         rows = rows.withColumns({
             "path": F.when(lone, F.col("path")).otherwise(F.concat("path", step)),
             "top": F.when(lone, F.col("top")).otherwise(digest(*slots)),
-        }).drop(*children)
-    return rows.drop(*(f"up{k}" for k in range(1, levels + 1)))
+        })
+    return rows.select(*nodes.columns, "block", "top", "path")
 
 
 def to_root(
@@ -82,14 +81,12 @@ def to_root(
     returns g, root, path. Without it the subroot is the root.
     """
     span = fanout**levels
-    rounds = [nodes]
+    rounds = [climbed(nodes, fanout, levels)]
     while not rounds[-1].filter(F.col("size") > span).isEmpty():
-        tops = climbed(rounds[-1], fanout, levels).filter(F.col("place") % span == 0)
-        rounds.append(
-            written(tops.select("g", F.col("block").alias("place"), F.ceil(F.col("size") / span).alias("size"), F.col("top").alias("node")), "tree-tops")
-        )
-    ended = climbed(rounds[-1], fanout, levels).filter("place = 0")
-    subroots = written(ended.select("g", F.col("top").alias("node")), "subroots")
+        tops = rounds[-1].filter(F.col("place") % span == 0)
+        tops = tops.select("g", F.col("block").alias("place"), F.ceil(F.col("size") / span).alias("size"), F.col("top").alias("node"))
+        rounds.append(climbed(written(tops, "tree-tops"), fanout, levels))
+    subroots = written(rounds[-1].filter("place = 0").select("g", F.col("top").alias("node")), "subroots")
     if above:
         rest = above(subroots).select(F.col("g").alias("_g"), "root", F.col("path").alias("rest"))
         upper = subroots.join(rest, F.col("g") == F.col("_g")).select("g", F.lit(0).cast("long").alias("place"), F.col("node").alias("subroot"), "root", "rest")
@@ -98,11 +95,10 @@ def to_root(
         upper = subroots.select("g", F.lit(0).cast("long").alias("place"), node.alias("subroot"), node.alias("root"), F.array().cast(STEPS).alias("rest"))
     for k in range(len(rounds) - 1, -1, -1):
         right = upper.select(F.col("g").alias("_g"), F.col("place").alias("_place"), "subroot", "root", "rest")
-        met = climbed(rounds[k], fanout, levels).join(right, (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_place")))
-        whole = met.select(*rounds[k].columns, "subroot", "root", F.concat("path", "rest").alias("path"))
+        met = rounds[k].join(right, (F.col("g") == F.col("_g")) & (F.col("block") == F.col("_place"))).withColumn("rest", F.concat("path", "rest"))
         if k:
-            upper = written(whole.select("g", "place", "subroot", "root", F.col("path").alias("rest")), "tree-paths")
-    return whole
+            upper = written(met.select("g", "place", "subroot", "root", "rest"), "tree-paths")
+    return met.select(*nodes.columns, "subroot", "root", F.col("rest").alias("path"))
 
 
 def merkle_manifest(docs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS, **changed: Column) -> DataFrame:
