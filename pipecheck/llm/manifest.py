@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table
+from pipecheck.llm.common import sql_crc32, table
 from pipecheck.llm.ranks import group_key, placed
 from pipecheck.session import written
 
@@ -145,13 +145,6 @@ def op13_merkle(spark, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-def _crc32(text: str) -> str:
-    """Unsigned CRC-32 of an ASCII text in SQL: byte by byte, bit by bit."""
-    bits = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
-    codes = f"list_transform(string_split({text}, ''), lambda t: ascii(t)::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bits}), 4294967295::BIGINT)"
-
-
 def _encoded(value: str) -> str:
     return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
 
@@ -160,7 +153,7 @@ SQL = f"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, lang, coalesce(':' || lang, '') AS g,
     sha256({' || '.join(_encoded(c) for c in FIELDS)}) AS leaf,
-    CASE WHEN n_chars IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 7 = 0
+    CASE WHEN n_chars IS NOT NULL AND {sql_crc32("doc_id::VARCHAR")} % 7 = 0
       THEN sha256({' || '.join(_encoded('(n_chars + 1)' if c == 'n_chars' else c) for c in FIELDS)}) END AS changed_leaf
   FROM documents
 ), leaves AS (

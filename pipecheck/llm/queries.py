@@ -1,6 +1,6 @@
 """The queries of this package: name -> (query, SQL or None)."""
 
-from pipecheck.llm import decontamination, extraction, language, line_dedup, manifest, mixing, ngram_join, quality, toxicity, url_filter, warc
+from pipecheck.llm import conversations, decontamination, extraction, language, line_dedup, manifest, mixing, near_dedup, ngram_join, quality, toxicity, url_filter, warc
 
 QUERIES = {
     **decontamination.QUERIES,
@@ -13,5 +13,7 @@ QUERIES = {
     **line_dedup.QUERIES,
     **ngram_join.QUERIES,
     **toxicity.QUERIES,
+    **near_dedup.QUERIES,
+    **conversations.QUERIES,
     **manifest.QUERIES,
 }
