@@ -143,6 +143,8 @@ def neighbour_pairs(sets: DataFrame, reach: int = REACH) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
+            # Plain numpy ids: Arrow's text columns do not go through concat and reindex.
+            batch = batch.assign(doc_id=batch["doc_id"].to_numpy())
             first = batch.head(max(0, reach - head))
             head += len(first)
             yield first.reindex(columns=names)
@@ -160,7 +162,8 @@ def neighbour_pairs(sets: DataFrame, reach: int = REACH) -> DataFrame:
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = list(batches)
         if whole:
-            yield _near_rows(pd.concat(whole, ignore_index=True), reach)
+            rows = pd.concat(whole, ignore_index=True)
+            yield _near_rows(rows.assign(doc_id=rows["doc_id"].to_numpy()), reach)
 
     between = edges.repartition(1).sortWithinPartitions(*keys).mapInPandas(across, f"a {kind}, b {kind}, agree bigint")
     pairs = met.filter("part is null").select("a", "b", "agree").union(between)
