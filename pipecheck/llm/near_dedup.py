@@ -140,19 +140,21 @@ def neighbour_pairs(sets: DataFrame, reach: int = REACH) -> DataFrame:
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held, head = ["a", "b", "agree", *columns], None, 0
+
+        def shaped(part: pd.DataFrame) -> pd.DataFrame:
+            return part.assign(**{c: None for c in names if c not in part.columns})[names]
+
         for batch in batches:
             if not len(batch):
                 continue
-            # Plain numpy ids: Arrow's text columns do not go through concat and reindex.
-            batch = batch.assign(doc_id=batch["doc_id"].to_numpy())
             first = batch.head(max(0, reach - head))
             head += len(first)
-            yield first.reindex(columns=names)
+            yield shaped(first)
             joined = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            yield _near_rows(joined, reach).reindex(columns=names)
+            yield shaped(_near_rows(joined, reach))
             held = joined.tail(reach).reset_index(drop=True)
         if held is not None:
-            yield held.reindex(columns=names)
+            yield shaped(held)
 
     columns, kind = [*rows.columns, "part"], sets.schema["doc_id"].dataType.simpleString()
     schema = f"a {kind}, b {kind}, agree bigint, tree int, key bigint, doc_id {kind}, n bigint, s1 bigint, s2 bigint, part int"
@@ -162,8 +164,7 @@ def neighbour_pairs(sets: DataFrame, reach: int = REACH) -> DataFrame:
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = list(batches)
         if whole:
-            rows = pd.concat(whole, ignore_index=True)
-            yield _near_rows(rows.assign(doc_id=rows["doc_id"].to_numpy()), reach)
+            yield _near_rows(pd.concat(whole, ignore_index=True), reach)
 
     between = edges.repartition(1).sortWithinPartitions(*keys).mapInPandas(across, f"a {kind}, b {kind}, agree bigint")
     pairs = met.filter("part is null").select("a", "b", "agree").union(between)
