@@ -15,7 +15,7 @@ from pipecheck.sources.specs import (
     read_specs,
     valid,
 )
-from pipecheck.sources.tables import read_csv, register_csv_tables, run_sql
+from pipecheck.sources.tables import folder_schemas, read_csv, register_csv_tables, run_sql
 from queries import inputs as I
 
 
@@ -60,6 +60,19 @@ def csv_views(spark, sf_dir):
     )
 
 
+def file_types(spark, sf_dir):
+    """Orders dealt over 200 CSV files, some with values of other types: the types of all files from one aggregate."""
+    folder, key = shared_path(spark, "files"), F.col("o_orderkey")
+    price = F.when((key % 3 == 0) & (key % 7 == 0), "none").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    orders = I.table(spark, sf_dir, "orders").select(
+        F.concat((key % 200).cast("string"), F.lit(".csv")).alias("file"), key.alias("id"), F.when(key % 11 > 0, price).alias("price"),
+        F.when(key % 4 == 1, key * 1000000000).otherwise(key).alias("number"), F.concat(F.lit('say "'), "o_orderpriority", F.lit('",\n')).alias("note"),
+        F.when(key % 10 == 0, "2031-01-02").otherwise(F.when(key % 5 == 0, "2031-01-02 03:04:05")).alias("at"),
+    )
+    orders.repartition("file").write.partitionBy("file").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    return folder_schemas(spark, folder)
+
+
 def log_files(spark, sf_dir):
     """Log lines written as text files; the number of a line is its place in its file."""
     path = shared_path(spark, "logs")
@@ -139,6 +152,25 @@ def verify_sql(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, status string, cnt bigint")
 
 
+# Per file: dirty prices, numbers beyond an int, dates with or without a time of day.
+FILE_TYPES_SQL = """
+WITH rows AS (
+  SELECT o_orderkey % 200 AS f, o_orderkey AS k, o_orderkey % 11 > 0 AS priced, o_orderkey % 3 = 0 AND o_orderkey % 7 = 0 AS dirty,
+    CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey * 1000000000 ELSE o_orderkey END AS number FROM orders
+), files AS (
+  SELECT f, count(*) AS n, count(*) FILTER (NOT priced) AS no_price, bool_or(priced AND dirty) AS bad, bool_or(priced) AS any_price,
+    max(k) > 2147483647 AS big_id, max(number) > 2147483647 AS big, count(*) FILTER (k % 5 <> 0) AS no_time, bool_or(k % 10 = 0) AS dates, bool_or(k % 10 = 5) AS times
+  FROM rows GROUP BY f
+)
+SELECT 'file=' || f AS table_name, ordinal::INTEGER AS ordinal, column_name, data_type, n AS n_rows, n_null FROM files, LATERAL (VALUES
+  (1, 'id', CASE WHEN big_id THEN 'bigint' ELSE 'int' END, 0::BIGINT),
+  (2, 'price', CASE WHEN NOT any_price OR bad THEN 'string' ELSE 'double' END, no_price),
+  (3, 'number', CASE WHEN big THEN 'bigint' ELSE 'int' END, 0::BIGINT),
+  (4, 'note', 'string', 0::BIGINT),
+  (5, 'at', CASE WHEN times THEN 'timestamp' WHEN dates THEN 'date' ELSE 'string' END, no_time)
+) AS c(ordinal, column_name, data_type, n_null)
+"""
+
 SPEC_STATE = """CASE WHEN event_type = 'error' THEN 'source.type is missing'
   WHEN event_id % 9 = 4 THEN 'transform.sql is missing' WHEN event_id % 10 = 3 THEN 'unknown engine' END"""
 
@@ -156,6 +188,7 @@ QUERIES = {
         csv_line_breaks,
         "SELECT doc_id, lang, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS digest FROM documents",
     ),
+    "file_types": (file_types, FILE_TYPES_SQL),
     "csv_views": (
         csv_views,
         """SELECT c_mktsegment AS segment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total

@@ -25,7 +25,7 @@ def test_file_stem():
 
 
 def test_csv_types_are_inferred(spark, tmp_path):
-    path = write(tmp_path, "s.csv", "id,total,day,price\n1,2.5,2024-11-01,$12.50\n2,,2024-11-02,N/A\n")
+    path = write(tmp_path, "s.csv", "id,total,day,price\n1,2.5,2031-05-07,7 EUR\n2,,2031-05-09,free\n")
     df = tables.read_csv(spark, path)
     assert dict(df.dtypes) == {"id": "int", "total": "double", "day": "date", "price": "string"}
     assert values(df, "total") == [(2.5,), (None,)]
@@ -42,10 +42,9 @@ def test_csv_as_text_and_empty_fields(spark, tmp_path):
 
 def test_csv_line_breaks_in_quotes(spark, tmp_path):
     path = write(tmp_path, "q.csv", 'id,note\n1,"a\nb ""c"""\n2,"d, e"\n')
-    assert tables.has_quoted_newlines(spark, path)
     assert values(tables.read_csv(spark, path)) == [(1, 'a\nb "c"'), (2, "d, e")]
     plain = write(tmp_path, "p.csv", 'id,note\n1,"a ""b"""\n')
-    assert not tables.has_quoted_newlines(spark, plain)
+    assert values(tables.read_csv(spark, plain)) == [(1, 'a "b"')]
 
 
 def test_every_csv_of_a_folder_becomes_a_view(spark, tmp_path):
