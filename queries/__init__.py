@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables, with its SQL check."""
 
-from queries import files, joins, logs, reports, schemas, scores
+from queries import files, joins, logs, repairs, reports, schemas, scores
 
 REGISTRY = {
     **joins.QUERIES,
@@ -9,4 +9,5 @@ REGISTRY = {
     **reports.QUERIES,
     **scores.QUERIES,
     **files.QUERIES,
+    **repairs.QUERIES,
 }
