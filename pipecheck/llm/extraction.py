@@ -5,8 +5,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = ("content", "article", "post", "entry", "story", "main", "text")
 
 # Sizes of the vectors and of the hidden state of each direction.
-PATH, WORDS, MORE, HIDDEN_SIZE = 256, 48, 3, 24
+PATH, WORDS, MORE, HIDDEN_SIZE = 257, 48, 3, 24
 # The labeller learns from so many pages of the smallest hash, each of at most so many characters and blocks.
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 160, 40000, 120
 EPOCHS, BATCH, RATE = 14, 32, 0.01
@@ -46,7 +46,61 @@ _CUT_OFF = re.compile(r"<[a-zA-Z!?/][^<>]*+\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _PART = re.compile(r"[a-z]+")
 
-Path = tuple[tuple[str, tuple[str, ...]], ...]
+# Attributes by which a browser does not show an element.
+_UNSEEN = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*?|'[^']*?)\bdisplay\s*:\s*none\b|(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+
+
+class Path:
+    """The open tags around a block, with the words of their names, from the root on.
+
+    Each step knows its parent and what its parent knows of the vector and of the kinds of containers above, so a path of any depth costs as
+    much as its last step. ``step`` gives the same object for the same child, so blocks beside each other share theirs.
+    """
+
+    __slots__ = ("boiler", "leaf", "main", "names", "parent", "slots", "steps", "tag")
+
+    def __init__(self, parent: Path | None = None, tag: str = "", names: tuple[str, ...] = ()):
+        self.parent, self.tag, self.names, self.steps = parent, tag, names, {}
+        if parent is None:
+            self.slots, self.leaf, self.boiler, self.main = frozenset(), -1, False, False
+            return
+        own = {_slot(feature, PATH - 1) for feature in (tag, *(f".{n}" for n in names))}
+        self.slots = parent.slots if own <= parent.slots else parent.slots | own
+        self.leaf = _slot(f"leaf {tag}", PATH - 1)
+        self.boiler = parent.boiler or tag in BOILER_TAGS or not BOILER_NAMES.isdisjoint(names)
+        self.main = parent.main or tag in MAIN_TAGS
+
+    @classmethod
+    def of(cls, steps) -> Path:
+        path = cls()
+        for tag, names in steps:
+            path = path.step(tag, names)
+        return path
+
+    def step(self, tag: str, names: tuple[str, ...] = ()) -> Path:
+        if (tag, names) not in self.steps:
+            self.steps[tag, names] = Path(self, tag, names)
+        return self.steps[tag, names]
+
+    def __iter__(self):
+        out, at = [], self
+        while at.parent is not None:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return reversed(out)
+
+    def __getitem__(self, k):
+        return tuple(self)[k]
+
+    def __eq__(self, other) -> bool:
+        return tuple(self) == tuple(other)
+
+    __hash__ = None
+
+    @property
+    def key(self) -> tuple[frozenset[int], int, bool]:
+        """What the vector of the path depends on: few values, however many paths a page has."""
+        return self.slots, self.leaf, self.boiler
 
 
 def _tag_end(page: str, at: int, dead: set[int]) -> int:
@@ -87,11 +141,13 @@ def leaves(page: str | None) -> list[tuple[Path, str, float]]:
 
     A block is the text between two tags that are not inline. Its path lists the open tags with the words of their
     class, id and role. Texts have their character references decoded and one space for any white space. What browsers
-    do not show as text (scripts, styles, comments, the head, a tag cut off at the end) is in no block. Tags left open end with the
-    element around them.
+    do not show as text (scripts, styles, comments, the head, elements with ``hidden`` or ``display: none``, a tag cut off at the end) is in no
+    block. Tags left open end with the element around them. Time is linear in the page, however deep its tags are nested.
     """
     out: list[tuple[Path, str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = [Path()]
+    # How often each tag is open: an end tag without a beginning is not looked for.
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -100,16 +156,27 @@ def leaves(page: str | None) -> list[tuple[Path, str, float]]:
         raw = "".join(parts)
         text = " ".join(entities.unescape(raw).split())
         if text:
-            out.append((tuple(stack), text, min(1.0, linked / len(raw))))
+            out.append((stack[-1], text, min(1.0, linked / len(raw))))
         parts.clear()
         linked = 0
 
+    # Size of the stack within the outermost element that is not shown; 0 outside.
+    unseen = 0
+
+    def leave() -> str:
+        nonlocal unseen
+        if len(stack) == unseen:
+            unseen = 0
+        gone = stack.pop().tag
+        opened[gone] -= 1
+        return gone
+
     page, at, links = page or "", 0, 0
     dead: set[int] = set()
     while at < len(page):
         tag = _next_tag(page, at, dead)
         text = page[at : tag[0]] if tag else _CUT_OFF.sub("", page[at:])
-        if text:
+        if text and not unseen:
             parts.append(text)
             linked += len(text) if links else 0
         if not tag:
@@ -126,9 +193,8 @@ def leaves(page: str | None) -> list[tuple[Path, str, float]]:
             continue
         flush()
         if slash:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened[name]:
+                if leave() == name:
                     break
             continue
         if name in HIDDEN and not attributes.endswith("/"):
@@ -137,11 +203,14 @@ def leaves(page: str | None) -> list[tuple[Path, str, float]]:
             continue
         # A block tag ends an open paragraph, an item ends the item before it.
         for closes in ("p", name if name in ("li", "td", "th", "tr", "dt", "dd", "option") else "p"):
-            if stack and stack[-1][0] == closes:
-                stack.pop()
+            if stack[-1].tag == closes:
+                leave()
         if name not in VOID:
             names = tuple(_PART.findall(" ".join(_NAMES.findall(attributes)).lower())) if attributes.strip() else ()
-            stack.append((name, names))
+            opened[name] += 1
+            stack.append(stack[-1].step(name, names))
+            if not unseen and attributes and _UNSEEN.search(attributes):
+                unseen = len(stack)
     flush()
     return out
 
@@ -150,28 +219,21 @@ def _slot(text: str, size: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % size
 
 
-@lru_cache(maxsize=4096)
 def path_vector(path: Path) -> np.ndarray:
-    """Tags and names on a path, hashed; the tag of the block itself once more."""
+    """Tags and names on a path, hashed; the tag of the block itself once more; last, whether any container names itself as no main text."""
     v = np.zeros(PATH, dtype=np.float32)
-    for tag, names in path:
-        for feature in (tag, *(f".{n}" for n in names)):
-            v[_slot(feature, PATH)] = 1
-    if path:
-        v[_slot(f"leaf {path[-1][0]}", PATH)] = 1
+    v[list(path.slots)] = 1
+    v[-1] = path.boiler
+    if path.leaf >= 0:
+        v[path.leaf] = 1
     return v
 
 
-@lru_cache(maxsize=1 << 17)
-def _word_slot(word: str) -> int:
-    return _slot(word, WORDS)
-
-
 def word_vector(text: str, linked: float) -> np.ndarray:
     """Hashed words of a block as shares, its length, its linked share and its share of sentence ends."""
     words = text.lower().split()
     v = np.zeros(WORDS + MORE, dtype=np.float32)
-    v[:WORDS] = np.bincount([_word_slot(w) for w in words], minlength=WORDS)
+    v[:WORDS] = np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS)
     v[:WORDS] /= len(words)
     v[WORDS:] = np.log1p(len(words)) / 4, linked, sum(w[-1] in ".!?:;" for w in words) / len(words)
     return v
@@ -278,10 +340,12 @@ class Labeller:
             mask = np.zeros((longest, len(group)), dtype=np.float32)
             drive = {d: np.zeros((longest, len(group), 4 * HIDDEN_SIZE), dtype=np.float32) for d in "fb"}
             for at, k in enumerate(group):
-                # Paths repeat: each is multiplied once.
-                own = {path: n for n, path in enumerate(dict.fromkeys(path for path, _, _ in pages[k]))}
-                paths = np.stack([path_vector(path) for path in own])
-                which = [own[path] for path, _, _ in pages[k]]
+                # Paths look alike: each kind is multiplied once.
+                own: dict[tuple, tuple[int, Path]] = {}
+                for path, _, _ in pages[k]:
+                    own.setdefault(path.key, (len(own), path))
+                paths = np.stack([path_vector(path) for _, path in own.values()])
+                which = [own[path.key][0] for path, _, _ in pages[k]]
                 words = np.stack([word_vector(text, linked) for _, text, linked in pages[k]])
                 mask[: len(which), at] = 1
                 for d in "fb":
@@ -305,44 +369,61 @@ def padded(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def is_boiler(path: Path) -> bool:
-    return any(tag in BOILER_TAGS or BOILER_NAMES.intersection(names) for tag, names in path)
+    return path.boiler
 
 
 def is_main(path: Path) -> bool:
-    return any(tag in MAIN_TAGS for tag, _ in path) and not is_boiler(path)
+    return path.main and not path.boiler
 
 
 def training_pages(blocks: list[list[tuple[Path, str, float]]], seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Vectors and labels of sample pages and of two altered copies of each.
+    """Vectors and labels of sample pages and of three altered copies of each.
 
     A block is labelled main text if it is in an article or main element and in no container that names itself a menu, header, footer,
-    sidebar, notice, advert, form or comments. Copies give the article another container and add groups of
-    blocks under such names, before, within and after it, with texts of other pages, so that the labeller learns the
-    names that these pages happen not to use.
+    sidebar, notice, advert, form or comments. Copies give the article another container, of any name or
+    none, and add groups of blocks under such names, before, within and after it, with texts of other pages, so that the labeller learns the
+    names that these pages happen not to use, and to do without a name for the main text.
     """
     rng = np.random.default_rng(seed)
     texts = [text for page in blocks for _, text, _ in page]
     names = sorted(BOILER_NAMES)
 
-    def group(inside: Path) -> list[tuple[Path, str, float]]:
+    def letters() -> str:
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(1, 9)))
+
+    def group(inside: tuple) -> list[tuple[tuple, str, float]]:
         tag = str(rng.choice(sorted(BOILER_TAGS))) if rng.random() < 0.25 else str(rng.choice(["div", "ul", "section", "p"]))
         own = () if tag in BOILER_TAGS and rng.random() < 0.5 else (str(rng.choice(names)),)
+        if own and rng.random() < 0.5:
+            own = (str(rng.choice([*MAIN_NAMES, letters()])), *own)
         leaf = ((tag, own), (str(rng.choice(["p", "li", "div", "h3"])), ())) if rng.random() < 0.7 else ((tag, own),)
         chosen = [texts[rng.integers(len(texts))] for _ in range(rng.integers(1, 6))]
         cut = [" ".join(t.split()[: rng.integers(1, 40)]) for t in chosen]
         return [(inside + leaf, t, float(rng.random() < 0.3)) for t in cut]
 
+    def container() -> tuple:
+        kind = rng.random()
+        if kind < 0.15:
+            return (("main", ()),)
+        if kind < 0.5:
+            return (("div", (str(rng.choice(MAIN_NAMES)),)),)
+        if kind < 0.6:
+            return (("article", ()), ("div", (str(rng.choice(MAIN_NAMES)),)))
+        # Names that say nothing, or none.
+        own = () if rng.random() < 0.4 else tuple(letters() for _ in range(rng.integers(1, 3)))
+        return ((str(rng.choice(["div", "section", "td", "center", "body"])), own),)
+
     def altered(page):
-        other = str(rng.choice(MAIN_NAMES))
-        new = (("main", ()),) if rng.random() < 0.2 else (("div", (other,)),) if rng.random() < 0.6 else (("article", ()), ("div", (other,)))
-        wrap = (("div", (str(rng.choice(["page", "wrapper", "container", "site"])),)),) if rng.random() < 0.5 else ()
+        new = container()
+        wrap = (("div", (str(rng.choice(["page", "wrapper", "container", "site", letters()])),)),) if rng.random() < 0.5 else ()
         rows = []
         for path, text, linked in page:
             changed = tuple(x for e in path for x in (new if e[0] in MAIN_TAGS else (e,)))
             rows.append((wrap + changed, text, linked, is_main(path)))
         inner = [k for k, r in enumerate(rows) if r[3]]
-        for _ in range(rng.integers(1, 5)):
-            at = int(rng.integers(len(rows) + 1))
+        for k in range(rng.integers(2, 6)):
+            # One group at least stands within the main text.
+            at = int(rng.choice(inner)) + 1 if k == 0 else int(rng.integers(len(rows) + 1))
             within = at < len(rows) and rows[at][3] and at != inner[0]
             inside = rows[at][0][:-1] if within else wrap + (("body", ()),)
             rows[at:at] = [(*b, False) for b in group(inside)]
@@ -351,8 +432,8 @@ def training_pages(blocks: list[list[tuple[Path, str, float]]], seed: int = 1) -
 
     out = []
     for page in blocks:
-        for rows in ([(*b, is_main(b[0])) for b in page], altered(page), altered(page)):
-            x = np.stack([np.concatenate([path_vector(p), word_vector(t, a)]) for p, t, a, _ in rows])
+        for rows in ([(*b, is_main(b[0])) for b in page], altered(page), altered(page), altered(page)):
+            x = np.stack([np.concatenate([path_vector(p if isinstance(p, Path) else Path.of(p)), word_vector(t, a)]) for p, t, a, _ in rows])
             out.append((x, np.array([m for *_, m in rows], dtype=np.float32)))
     return out
 

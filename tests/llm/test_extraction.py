@@ -134,3 +134,59 @@ def test_padding_changes_nothing():
     pages = [x.leaves(page(rng)[0]) for _ in range(7)] + [[]]
     alone = [net.label([p])[0] for p in pages]
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(alone, net.label(pages), strict=True))
+
+
+def test_deep_nesting_takes_linear_time_and_little_memory():
+    import tracemalloc
+
+    for piece in ("<div>a", "<div class=c>a<p>b", "<b><div>a</p>", "<ul><li>a"):
+        start = time.process_time()
+        assert len(x.leaves(piece * 100000)) >= 100000
+        assert time.process_time() - start < 15, piece
+        tracemalloc.start()
+        x.leaves(piece * 10000)
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 40e6, piece
+    net, start = x.Labeller(), time.process_time()
+    assert len(net.label([x.leaves("<div>a" * 30000)])[0]) == 30000
+    assert time.process_time() - start < 20
+
+
+def test_end_tags_without_a_beginning():
+    start = time.process_time()
+    assert len(texts("<div>a" * 50000 + "</section>b" * 50000)) == 100000
+    assert time.process_time() - start < 10
+    assert [tuple(p) for p, _, _ in x.leaves("<div><p>a</div>b</div>c")] == [(("div", ()), ("p", ())), (), ()]
+
+
+def test_what_is_not_shown_is_no_text():
+    assert texts('<article><p>a<p style="color:red; display : none">b<b>c</b><p>d<div hidden>e<p>f</div>g<p class="hidden">h') == ["a", "d", "g", "h"]
+    assert texts("<div style='display:none'><div>a</div>b</div>c<p data-hidden=1 style='x-display:block'>d") == ["c", "d"]
+
+
+def test_containers_of_other_names(spark):
+    rng = random.Random(4)
+    labeller = x.fit_labeller(spark.createDataFrame([(page(rng)[0],) for _ in range(100)], "html string"))
+    for tag in ('div class="x1"', 'section id="body"', "div", "td", "main", 'div class="content"', "center"):
+        made = [page(rng, tag) for _ in range(100)]
+        blocks = [x.leaves(h) for h, _ in made]
+        good = 0
+        for own, p, (_, want) in zip(blocks, labeller.label(blocks), made, strict=True):
+            good += "\n".join(b[1] for b, q in zip(own, p, strict=True) if q >= 0.5) == want
+        assert good >= 96, tag
+
+
+def test_workers_need_no_copy_of_the_package(spark):
+    """What goes to the workers is unpickled in a process that cannot import the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    def labelled(pages):
+        return [x.leaves(page) for page in pages], x.Labeller().label([x.leaves(p) for p in pages])
+
+    code = "import sys, pickle; f = pickle.load(sys.stdin.buffer); b, p = f(['<article><p>a</article>']); print(b[0][0][1], len(p[0]))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(labelled), capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
+    assert done.stdout.decode().split() == ["a", "1"], done.stderr.decode()
