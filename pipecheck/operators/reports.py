@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipecheck.functions import text as X
+from pipecheck.functions.columns import named
 
 # States of a report.
 SUCCESS = "success"
@@ -68,19 +69,16 @@ def _with_call(answers: DataFrame, json_text: Column, name: Column, arguments: C
     ``name`` and ``arguments`` are columns over ``_json``.
     """
     schema = "tool string, args string, name string, arguments string, corrupt string"
-    # A column of its own, so that the JSON is parsed once.
-    parsed = answers.withColumn("_json", F.from_json(json_text, schema, STRICT_JSON))
+    rest = [named(c) for c in answers.columns if c not in ("tool", "arguments")]
+    # A row of its own, behind which Spark does not look: so each text is parsed once, however often its parts are used.
+    parsed = answers.select(*rest, F.inline(F.array(F.struct(F.from_json(json_text, schema, STRICT_JSON).alias("_json")))))
     whole = F.col("_json").isNotNull() & F.col("_json.corrupt").isNull()
     none = F.expr("cast(map() as map<string,string>)")
     as_map = F.from_json(arguments, "map<string,string>", {"allowSingleQuotes": "false"})
     as_text = F.when(arguments.isNotNull(), F.create_map(F.lit("value"), arguments))
     held = F.when(F.ltrim(arguments).startswith("{"), as_map).otherwise(as_text)
-    return parsed.withColumns(
-        {
-            "tool": F.when(whole, F.coalesce(name, F.lit(""))),
-            "arguments": F.when(whole, F.coalesce(held, none)),
-        }
-    ).drop("_json")
+    found = F.struct(F.when(whole, F.coalesce(name, F.lit(""))).alias("tool"), F.when(whole, F.coalesce(held, none)).alias("arguments"))
+    return parsed.select(*rest, F.inline(F.array(found)))
 
 
 def labelled_calls(answers: DataFrame, text: str = "text") -> DataFrame:

@@ -223,8 +223,8 @@ SELECT event_id AS load_id,
          THEN concat('insert into enriched select c.name from orders join customers c on orders.cust_', user_id, ' = c.customer_id')
        WHEN event_type = 'error' THEN 'INSERT INTO fact_pricing SELECT CAST(price AS DOUBLE) FROM pricing'
        ELSE concat('INSERT INTO t', event_id % 5, ' SELECT * FROM s') END AS sql,
-  concat('2024-11-15 11:22:30 INFO   Starting\n2024-11-15 11:22:33 WARN   completed with ',
-         CASE event_id % 4 WHEN 0 THEN '10' WHEN 1 THEN '5' ELSE '0' END, ' rows inserted') AS log
+  concat('2032-06-07 03:10:00 INFO   nightly copy opened\n2032-06-07 03:10:41 WARN   copy closed, ',
+         CASE event_id % 4 WHEN 0 THEN '10' WHEN 1 THEN '5' ELSE '0' END, ' rows in the target') AS log
 FROM events"""
 
 
@@ -258,8 +258,8 @@ def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     n = F.when(event % 4 == 0, "10").when(event % 4 == 1, "5").otherwise("0")
     log = F.concat(
-        F.lit("2024-11-15 11:22:30 INFO   Starting\n2024-11-15 11:22:33 WARN   completed with "),
-        n, F.lit(" rows inserted"),
+        F.lit("2032-06-07 03:10:00 INFO   nightly copy opened\n2032-06-07 03:10:41 WARN   copy closed, "),
+        n, F.lit(" rows in the target"),
     )
     return table(spark, sf_dir, "events").select(
         event.alias("load_id"),
