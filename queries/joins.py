@@ -132,6 +132,21 @@ def score_fixes(spark, sf_dir):
     )
 
 
+def fixes_of_documents(spark, sf_dir):
+    """One answer per document: repairs of an orders load that differ from document to document, many of them alike; all are scored."""
+    I.sales(spark, sf_dir).createOrReplaceTempView("sales_view")
+    doc = F.col("doc_id")
+    month = F.lpad((doc % 6 + 1).cast("string"), 2, "0")
+    good = F.concat(F.lit("INSERT INTO stg_sales (order_id, amount) SELECT order_id, total_amount FROM sales_view WHERE month(order_date) = "), month)
+    bad = F.concat(F.lit("INSERT INTO stg_sales (order_id) SELECT order_no FROM sales_view WHERE month(order_date) = "), month)
+    reports = I.table(spark, sf_dir, "documents").select(
+        doc.cast("string").alias("case_id"), F.coalesce("lang", F.lit("none")).alias("model"), F.when(F.col("source").isNull() | (doc % 7 == 0), bad).otherwise(good).alias("fixed_sql"),
+        F.lit("SELECT COUNT(*) FROM stg_sales WHERE amount > 0").alias("verification_query"),
+    )
+    checks = verify_module.score_fixes(spark, reports, "stg_sales", I.STG_SALES)
+    return checks.select("case_id", "model", F.col("fix_error").isNotNull().alias("fix_failed"), F.col("check_error").isNotNull().alias("check_failed"), "cnt")
+
+
 def append_rows(spark, sf_dir):
     """Append by name and read the table back."""
     dest = _destination(spark, "order_id BIGINT, customer_name VARCHAR, order_total DOUBLE")
@@ -229,6 +244,13 @@ QUERIES = {
             UNION ALL SELECT 'below', 'model', false, false, count(*) FROM s WHERE order_id = 1
             UNION ALL SELECT 'bad_check', 'model', false, true, NULL""",
     ),
+    "fixes_of_documents": (
+        fixes_of_documents,
+        f"""WITH s AS (SELECT month(order_date) AS m, count(*) FILTER (total_amount > 0) AS n FROM ({I.SALES_SQL}) GROUP BY 1),
+            d AS (SELECT *, source IS NULL OR doc_id % 7 = 0 AS bad FROM documents)
+            SELECT doc_id::VARCHAR AS case_id, coalesce(lang, 'none') AS model, bad AS fix_failed, false AS check_failed,
+            CASE WHEN NOT bad THEN coalesce(n, 0) END AS cnt FROM d LEFT JOIN s ON m = doc_id % 6 + 1""",
+    ),
     "append_rows": (
         append_rows,
         f"""WITH {JOINED} SELECT count(*) AS rows_written, count(*) AS rows_in_table,

@@ -8,6 +8,7 @@ from pipecheck.operators import logs
 from pipecheck.session import shared_path
 from pipecheck.sources.logs import preview_text, split_logs
 from pipecheck.sources.tables import preview, run_sql
+from pipecheck.streaming.log_state import latest_state, run_state, shown_lines
 from pipecheck.streaming.logs import stream_matches, write_available
 from queries import inputs as I
 
@@ -73,6 +74,29 @@ def log_stream(spark, sf_dir):
     return spark.read.parquet(f"{target}/lines")
 
 
+def _streamed(spark, sf_dir):
+    """The events arrive in four files; the stream stops after two and goes on from its checkpoint with the others."""
+    folder, lines = shared_path(spark, "state-stream"), I.log_lines(spark, sf_dir)
+    schema = lines.schema
+    for run in range(2):
+        for part in range(2):
+            own = lines.filter(F.pmod(F.xxhash64("line_no"), F.lit(4)) == 2 * run + part)
+            own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        run_state(arriving, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return latest_state(spark, f"{folder}/state")
+
+
+def log_stream_first(spark, sf_dir):
+    """The first 20 alerts of each log as four micro-batches and a restart give them: those of the whole table."""
+    return shown_lines(_streamed(spark, sf_dir))
+
+
+def log_stream_status(spark, sf_dir):
+    """Counts and status of each log from the same stream."""
+    return _streamed(spark, sf_dir).select("path", "n_lines", "n_matches", "status")
+
+
 def text_preview(spark, sf_dir):
     return preview_text(I.table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -130,6 +154,12 @@ QUERIES = {
            SELECT path, count(*) AS n_lines, max(line_no) AS last_no, CAST(sum(length(line) * line_no) AS BIGINT) AS weight FROM u GROUP BY path""",
     ),
     "log_stream": (log_stream, f"WITH {LINES} SELECT * FROM l WHERE {ALERT}"),
+    "log_stream_first": (log_stream_first, _top20(ALERT)),
+    "log_stream_status": (
+        log_stream_status,
+        f"""WITH {LINES} SELECT path, count(*) AS n_lines, count(*) FILTER ({ALERT}) AS n_matches,
+            CASE WHEN count(*) FILTER ({ALERT}) = 0 THEN 'no match' ELSE 'matched' END AS status FROM l GROUP BY path""",
+    ),
     "text_preview": (
         text_preview,
         "SELECT doc_id, substr(text, 1, 2000) AS preview, length(text) AS total_chars, length(text) > 2000 AS truncated FROM documents",

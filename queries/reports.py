@@ -123,8 +123,8 @@ SELECT id, 'success' AS status,
   CASE WHEN s0 <> '' THEN s0 ELSE s1 END AS fixed_sql, CASE WHEN q0 <> '' THEN q0 ELSE q1 END AS verification_query
 FROM f JOIN a USING (id)"""
 
-# Labels that would make a document a report or give it a cause.
-ANY_LABEL = "(?i)(root_cause|fix_type|fix_description|fixed_sql|verification_query|root\\s*cause|the\\s+root\\s+cause\\s+is|issue|problem)\\**\\s*:|insert\\s+into"
+# What would give a document a field of a report: with any of it, the check below must fail and not agree by chance.
+ANY_LABEL = "(?i)(root_cause|fix_type|fix_description|fixed_sql|verification_query|root\\s*cause|issue|problem)\\**\\s*:|insert\\s+into"
 
 QUERIES = {
     "report_fields": (
@@ -153,8 +153,8 @@ QUERIES = {
     "report_all": (report_all, REPORT_ALL_SQL),
     "report_documents": (
         report_documents,
-        """SELECT doc_id, 'success' AS status, substr(text, 1, 200) AS root_cause, '' AS fix_type, '' AS fix_description,
-           '' AS fixed_sql, '' AS verification_query FROM documents""",
+        f"""SELECT doc_id, CASE WHEN regexp_matches(text, '{ANY_LABEL}') THEN 'has a label' ELSE 'success' END AS status,
+            substr(text, 1, 200) AS root_cause, '' AS fix_type, '' AS fix_description, '' AS fixed_sql, '' AS verification_query FROM documents""",
     ),
     "tool_calls": (
         all_tool_calls,

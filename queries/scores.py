@@ -117,6 +117,11 @@ def case_filter(spark, sf_dir):
     return _model_means(chosen)
 
 
+def cases_to_choose(spark, sf_dir):
+    """What a caller can choose from: all case ids, as no case begins with the prefix."""
+    return scoring.available_cases(case_results(spark, sf_dir).select("case_id"), "no_such", "case_id")
+
+
 def no_cases(spark, sf_dir):
     """A prefix that no case has gives zeros, not NULLs."""
     return scoring.eval_means(scoring.filter_cases(case_results(spark, sf_dir), "no_such", "case_id"))
@@ -202,6 +207,7 @@ QUERIES = {
     ),
     "eval_means": (eval_means, _means_sql("true")),
     "case_filter": (case_filter, _means_sql("starts_with(case_id, 'case_1')")),
+    "cases_to_choose": (cases_to_choose, f"WITH {RESULTS} SELECT DISTINCT case_id FROM res"),
     "no_cases": (
         no_cases,
         """SELECT 0.0::DOUBLE AS diagnosis_accuracy, 0.0::DOUBLE AS fix_accuracy, 0.0::DOUBLE AS mean_steps, 0.0::DOUBLE AS mean_time,
