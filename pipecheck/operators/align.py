@@ -40,6 +40,12 @@ def _named_alike(source: DataFrame, dest: T.StructType) -> list[tuple[T.StructFi
     ]
 
 
+def candidate_columns(source: DataFrame, dest: T.StructType) -> DataFrame:
+    """dest_column, source_column of the candidates of ``rename_candidates``, from the names alone: no table is read."""
+    pairs = [(d.name, s.name) for d, s in _named_alike(source, dest)]
+    return source.sparkSession.createDataFrame(pairs, "dest_column string, source_column string")
+
+
 def rename_candidates(source: DataFrame, dest: T.StructType) -> DataFrame:
     """Source-only columns that may be an absent destination column, ranked.
 

@@ -292,7 +292,7 @@ def failure_kind(spark, sf_dir):
         ]
         return reduce(DataFrame.unionByName, frames)
 
-    findings = column_findings(per_pair(schema.compare_schemas), per_pair(align.rename_candidates))
+    findings = column_findings(per_pair(schema.compare_schemas), per_pair(align.candidate_columns))
     return diagnose(_all_loads(spark, sf_dir), findings)
 
 

@@ -21,18 +21,18 @@ def column(frame):
     return run
 
 
-INSERT = "INSERT INTO stg (order_id, amount)\nSELECT order_id, total_amount AS amount\nFROM source_data"
+INSERT = "INSERT INTO stg (parcel, mass)\nSELECT parcel, gross_mass AS mass\nFROM weighings"
 
 
 def test_labelled(parse):
     row = parse(
-        "Here is what I found:\n\nROOT_CAUSE: Column 'total_amount' is not 'amount'\nFIX_TYPE: rename\n"
-        f"FIX_DESCRIPTION: Use another name\nFIXED_SQL:\n{INSERT}\nVERIFICATION_QUERY:\nSELECT COUNT(*) FROM stg WHERE amount IS NOT NULL"
+        "Here is what I found:\n\nROOT_CAUSE: Column 'gross_mass' is not 'mass'\nFIX_TYPE: rename\n"
+        f"FIX_DESCRIPTION: Use another name\nFIXED_SQL:\n{INSERT}\nVERIFICATION_QUERY:\nSELECT COUNT(*) FROM stg WHERE mass IS NOT NULL"
     )
-    assert row.root_cause == "Column 'total_amount' is not 'amount'"
+    assert row.root_cause == "Column 'gross_mass' is not 'mass'"
     assert (row.fix_type, row.fix_description, row.status) == ("rename", "Use another name", "success")
     assert row.fixed_sql == INSERT
-    assert row.verification_query == "SELECT COUNT(*) FROM stg WHERE amount IS NOT NULL"
+    assert row.verification_query == "SELECT COUNT(*) FROM stg WHERE mass IS NOT NULL"
 
 
 def test_prose_is_its_own_cause(parse):
@@ -43,8 +43,8 @@ def test_prose_is_its_own_cause(parse):
 
 
 def test_bold_label_and_unlabelled_sql(parse):
-    row = parse(f"**Root Cause**: Column 'total_amount' is absent **\n\n**Fix**:\n```sql\n{INSERT}\n```")
-    assert row.root_cause == "Column 'total_amount' is absent"
+    row = parse(f"**Root Cause**: Column 'gross_mass' is absent **\n\n**Fix**:\n```sql\n{INSERT}\n```")
+    assert row.root_cause == "Column 'gross_mass' is absent"
     assert row.fixed_sql == INSERT and row.fix_type == "sql_modification" and row.verification_query == ""
 
 

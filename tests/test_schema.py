@@ -191,3 +191,12 @@ def test_unrelated_columns_are_never_paired(spark):
     dest = schema_from_ddl(", ".join(f"d{n}y INTEGER" for n in range(200)))
     assert align.rename_candidates(source, dest).count() == 0
     assert align.missing_columns(source, dest).count() == 200
+
+
+def test_candidates_by_name_read_no_table(frame):
+    source = frame([(1, 2)], "unit_price int, other int")
+    dest = T.StructType().add("price", "double").add("note", "string")
+    got = align.candidate_columns(source, dest)
+    assert values(got) == values(align.rename_candidates(source, dest), "dest_column", "source_column") == [("price", "unit_price")]
+    assert "Aggregate" not in got._jdf.queryExecution().toString()
+    assert align.candidate_columns(source, source.schema).count() == 0
