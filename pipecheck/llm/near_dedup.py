@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipecheck.llm.common import table
@@ -23,6 +23,8 @@ PERCENT = 80
 TREES, DEPTH = 32, 8
 # Neighbours in an order have at least so many of its values in common, and stand at most so many rows apart.
 LEAST_DEPTH, REACH = 3, 8
+# So many closest neighbours of a document are compared before all others.
+CLOSEST = 3
 # Bits of a sketch, each of a further MinHash. Similar sets agree in 90 % of them and more; five standard deviations of this are allowed for.
 SKETCH = 128
 AGREE = int(SKETCH * (0.5 + PERCENT / 200) - 5 * (SKETCH * 0.25 * (1 - (PERCENT / 100) ** 2)) ** 0.5)
@@ -99,8 +101,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def forest(sets: DataFrame) -> DataFrame:
-    """tree, key, doc_id, n, s1, s2: each set once in every signature order."""
-    return sets.select(F.posexplode("keys").alias("tree", "key"), "doc_id", "n", "s1", "s2")
+    """tree, key and the other columns of ``sets``: each set once in every signature order."""
+    return sets.select(F.posexplode("keys").alias("tree", "key"), *(c for c in sets.columns if c != "keys"))
 
 
 def _agreement(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -109,35 +111,44 @@ def _agreement(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -
     return SKETCH - differ
 
 
-def _near_rows(rows: pd.DataFrame, reach: int) -> pd.DataFrame:
-    """Pairs (a, b, agree) of sorted forest rows that are neighbours and may be similar."""
-    tree, key, n, s1, s2 = (rows[c].to_numpy() for c in ("tree", "key", "n", "s1", "s2"))
-    found = []
+def _near_rows(rows: pd.DataFrame, reach: int, closest: bool) -> pd.DataFrame:
+    """Pairs (a, b, agree) of sorted forest rows that are neighbours of different components and may be similar.
+
+    ``closest`` keeps for each row the pair of the closest sketches alone.
+    """
+    tree, key, n, s1, s2, of = (rows[c].to_numpy() for c in ("tree", "key", "n", "s1", "s2", "component"))
+    found = [(np.empty(0, dtype=np.int64),) * 3]
     for apart in range(1, min(reach, len(rows) - 1) + 1):
         x, y = slice(None, -apart), slice(apart, None)
         common = ((key[x] ^ key[y]).view(np.uint64) >> np.uint64(64 - 8 * LEAST_DEPTH)) == 0
         sized = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
-        at = np.flatnonzero((tree[x] == tree[y]) & common & sized)
+        at = np.flatnonzero((tree[x] == tree[y]) & common & sized & (of[x] != of[y]))
         agree = _agreement(s1[at], s2[at], s1[at + apart], s2[at + apart])
         at, agree = at[agree >= AGREE], agree[agree >= AGREE]
         found.append((at, at + apart, agree))
-    at, other, agree = (np.concatenate(parts) if found else np.empty(0, dtype=np.int64) for parts in (zip(*found, strict=True) if found else ((), (), ())))
+    at, other, agree = (np.concatenate(parts) for parts in zip(*found, strict=True))
+    if closest:
+        order = np.argsort(-agree, kind="stable")
+        at, other, agree = at[order], other[order], agree[order]
+        firsts = np.unique(np.concatenate([np.unique(ends, return_index=True)[1] for ends in (at, other)]))
+        at, other, agree = at[firsts], other[firsts], agree[firsts]
     ids = rows["doc_id"].to_numpy()
     return pd.DataFrame({"a": ids[at], "b": ids[other], "agree": agree})
 
 
-def neighbour_pairs(sets: DataFrame, reach: int = REACH) -> DataFrame:
-    """a, b, agree of documents that stand close together in some signature order, as a written table.
+def neighbour_pairs(sets: DataFrame, reach: int = REACH, closest: bool = False) -> DataFrame:
+    """a, b, agree of documents of different components that stand close together in some signature order, as a written table.
 
-    All orders are dealt by ranges of (tree, key, doc_id) and sorted, so an order is spread over tasks, and a region of equal keys too.
-    A row meets the next ``reach`` rows of its order as long as they share the first LEAST_DEPTH values. So the depth adapts to
-    the region: where it is sparse the neighbours share these few values, where it is dense they share most of them. Pairs whose sizes or
-    sketches exclude the wanted similarity go at once. The first and last rows of each task meet those of the next
-    in one small task more: at most 2 * reach rows of each.
+    ``sets`` has doc_id, n, keys, s1, s2, component. All orders are dealt by ranges of (tree, key, doc_id) and sorted, so an order is spread over
+    tasks, and a region of equal keys too. A row meets the next ``reach`` rows of its order as long as they share the first LEAST_DEPTH
+    values. So the depth adapts to the region: where it is sparse the neighbours share these few values, where it is dense they share most of
+    them. Pairs whose sizes or sketches exclude the wanted similarity go at once, and with ``closest`` all but each row's closest one. The
+    first and last rows of each task meet those of the next in one small task more: at most 2 * reach rows of each.
     """
     rows = forest(sets)
     keys = ["tree", "key", "doc_id"]
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("task", F.spark_partition_id())
+
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held, head = ["a", "b", "agree", *columns], None, 0
 
@@ -151,23 +162,23 @@ def neighbour_pairs(sets: DataFrame, reach: int = REACH) -> DataFrame:
             head += len(first)
             yield shaped(first)
             joined = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            yield shaped(_near_rows(joined, reach))
+            yield shaped(_near_rows(joined, reach, closest))
             held = joined.tail(reach).reset_index(drop=True)
         if held is not None:
             yield shaped(held)
 
-    columns, kind = [*rows.columns, "part"], sets.schema["doc_id"].dataType.simpleString()
-    schema = f"a {kind}, b {kind}, agree bigint, tree int, key bigint, doc_id {kind}, n bigint, s1 bigint, s2 bigint, part int"
+    columns, kind = [*rows.columns, "task"], sets.schema["doc_id"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, agree bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
     met = written(dealt.mapInPandas(scanned, schema), "forest-neighbours")
-    edges = met.filter("part is not null").select(*rows.columns).distinct()
+    edges = met.filter("task is not null").select(*rows.columns).distinct()
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = list(batches)
         if whole:
-            yield _near_rows(pd.concat(whole, ignore_index=True), reach)
+            yield _near_rows(pd.concat(whole, ignore_index=True), reach, closest)
 
     between = edges.repartition(1).sortWithinPartitions(*keys).mapInPandas(across, f"a {kind}, b {kind}, agree bigint")
-    pairs = met.filter("part is null").select("a", "b", "agree").union(between)
+    pairs = met.filter("task is null").select("a", "b", "agree").union(between)
     return written(_ordered(pairs), "neighbour-pairs")
 
 
@@ -176,40 +187,38 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree"))
 
 
-def hub_pairs(sets: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b, agree of the documents outside of a component that share the first LEAST_DEPTH values of some order with its hub.
+def hub_pairs(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b of the documents that share the first LEAST_DEPTH values of some order with the hub of another component, and may be similar.
 
-    The hub is the document of most links of a component of three or more. In a large group of copies of one text this is the text itself:
-    a copy that resembles nothing else need not stand next to it in a dense region, but meets it here. Entries that no hub
-    shares are dropped by a bit table before they are shuffled.
+    ``sets`` has each document's component. The hub is the document of most links of a component of three or more; a region of an order has one, that
+    of the largest component in it. In a large group of copies of one text this is the text itself: a copy that resembles nothing else
+    need not stand next to it in a dense region, but meets it here. Entries that no hub shares are dropped by a bit table
+    before they are shuffled, and entries of the hub's own component where they meet it.
     """
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-    best = parts.join(ends, "node").groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct(-F.col("degree"), F.col("node"))).alias("hub"))
-    hubs = best.filter("size > 2").select(F.col("hub.node").alias("doc_id"))
-    region = F.struct("tree", F.shiftright("key", 64 - 8 * LEAST_DEPTH))
-    rows = forest(sets).withColumns({"near": F.xxhash64(region), "of": F.col("doc_id")})
-    of_hubs = written(rows.join(hubs, "doc_id", "left_semi").select("near", *(F.col(c).alias(f"h_{c}") for c in ("doc_id", "n", "s1", "s2"))), "hub-entries")
-    wanted = of_hubs.select(F.col("near").alias("doc_id")).distinct()
-    others = marked(rows.select(F.col("near").alias("doc_id"), "of", "n", "s1", "s2"), wanted)
+    ends = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+    best = sets.select("doc_id", "component").join(ends, "doc_id").groupBy("component").agg(
+        F.count("*").alias("size"), F.min(F.struct(-F.col("degree"), F.col("doc_id"))).alias("hub")
+    )
+    hubs = best.filter("size > 2").select(F.col("hub.doc_id").alias("hub"), "size")
+    near = F.xxhash64(F.struct("tree", F.shiftright("key", 64 - 8 * LEAST_DEPTH)))
+    rows = forest(sets).withColumn("near", near).drop("tree", "key")
+    facts = ("doc_id", "n", "s1", "s2", "component")
+    of_hubs = rows.join(hubs, F.col("doc_id") == F.col("hub")).groupBy("near").agg(F.max(F.struct("size", *facts)).alias("h"))
+    of_hubs = written(of_hubs.select("near", *(F.col(f"h.{c}").alias(f"h_{c}") for c in facts)), "hub-entries")
+    # The bit table looks up a column doc_id.
+    wanted = of_hubs.select(F.col("near").alias("doc_id"))
+    others = marked(rows.select(F.col("near").alias("doc_id"), F.col("doc_id").alias("of"), "n", "s1", "s2", "component"), wanted)
     agree = SKETCH - F.bit_count(F.col("s1").bitwiseXOR(F.col("h_s1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("h_s2")))
-    met = others.join(of_hubs, F.col("doc_id") == F.col("near")).filter(100 * F.least("n", "h_n") >= PERCENT * F.greatest("n", "h_n"))
-    close = met.select(F.col("of").alias("a"), F.col("h_doc_id").alias("b"), agree.cast("bigint").alias("agree")).filter(F.col("agree") >= AGREE)
-    return written(_between(_ordered(close), parts), "hub-pairs")
+    close = (F.col("component") != F.col("h_component")) & (100 * F.least("n", "h_n") >= PERCENT * F.greatest("n", "h_n")) & (agree >= AGREE)
+    met = others.join(of_hubs, (F.col("doc_id") == F.col("near")) & close)
+    return met.select(F.least("of", "h_doc_id").alias("a"), F.greatest("of", "h_doc_id").alias("b"))
 
 
-def _between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of documents that are not yet known to be connected."""
-    own, other = (parts.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part")) for s in "ab")
-    met = pairs.join(own, "a", "left").join(other, "b", "left")
-    return met.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b", "agree")
-
-
-def _best_each(pairs: DataFrame) -> DataFrame:
-    """For each document its pair of the closest sketches."""
-    both = pairs.select(F.col("a").alias("doc"), F.struct(-F.col("agree"), "a", "b").alias("way")).union(
-        pairs.select("b", F.struct(-F.col("agree"), "a", "b"))
-    )
-    return both.groupBy("doc").agg(F.min("way").alias("way")).select("way.a", "way.b").distinct()
+def closest_each(pairs: DataFrame, most: int = CLOSEST) -> DataFrame:
+    """a, b of the ``most`` pairs of the closest sketches of each document."""
+    both = pairs.select(F.col("a").alias("doc"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
+    order = Window.partitionBy("doc").orderBy(F.desc("agree"), "a", "b")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -239,10 +248,9 @@ def near_copies(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Equal sets become one, the smallest doc_id, however many they are. The candidates of the rest are neighbours in the sorted
-    orders. They are confirmed on full sets in three rounds: for each document its closest neighbour; then, between what is not yet
-    connected, the hubs of the components and each document's closest neighbour again; then all candidates that still lie between
-    different components. A pair within a component adds nothing to it and is never compared, so a group of
-    thousands of copies takes about as many comparisons as it has documents.
+    orders. They are confirmed on full sets in two rounds: for each document its CLOSEST neighbours; then, between what is not yet connected, all
+    neighbours and the hubs of components. A pair within a component adds nothing to it, so the second round reads the orders with
+    the components of the first, and drops such pairs where they are found: a group of thousands of copies takes a few pairs per document.
 
     Links are exact, finding them is not: a pair of similarity 0.8 shares the first LEAST_DEPTH values of none of the TREES orders in 1 of
     10^10 cases, and is missed if too many others stand between the two in all of them. Tests and README have measured shares.
@@ -254,17 +262,13 @@ def near_copies(docs: DataFrame, reach: int = REACH) -> DataFrame:
     classes = written(known.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
     sets = known.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = written(sets.select("doc_id", "n", "keys", "s1", "s2"), "class-signatures")
-    near = neighbour_pairs(sets, reach)
-    links = confirmed(_best_each(near), docs)
-    parts = components(links)
-    hubs = hub_pairs(sets, links, parts)
-    open_ = written(_between(near, parts), "open-pairs")
-    second = confirmed(_best_each(open_).union(hubs.select("a", "b")).distinct(), docs)
-    links = links.union(second)
-    parts = components(links)
-    rest = _between(open_.union(hubs), parts).select("a", "b").distinct()
-    links = links.union(confirmed(rest.join(_best_each(open_).union(hubs.select("a", "b")), ["a", "b"], "left_anti"), docs))
+    first = neighbour_pairs(sets.withColumn("component", F.col("doc_id")), reach, closest=True)
+    links = confirmed(closest_each(first), docs)
     parts = components(links)
+    of_parts = sets.join(parts, F.col("doc_id") == F.col("node"), "left").select(*sets.columns, F.coalesce("component", "doc_id").alias("component"))
+    of_parts = written(of_parts, "sets-of-components")
+    open_ = neighbour_pairs(of_parts, reach).select("a", "b").union(hub_pairs(of_parts, links)).distinct()
+    parts = components(links.union(confirmed(open_, docs)))
     of_class = classes.join(parts, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     named = known.join(of_class, ["d1", "d2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()

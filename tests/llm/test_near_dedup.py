@@ -79,7 +79,7 @@ def test_against_brute_force(spark, texts):
 
 def test_many_tasks(spark):
     texts = corpus(3)
-    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert found(near_dedup.near_copies(documents(spark, texts))) == brute(texts)
