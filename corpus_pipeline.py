@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table
+from pipecheck.llm.common import SPACES, table
 from pipecheck.llm.decontamination import contamination
 from pipecheck.llm.line_dedup import dedup_lines
 from pipecheck.llm.mixing import emitted, mix_sources
@@ -27,11 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one has; n_chars is that of the new text.
-
-    A document that loses all its lines stays, with an empty text.
-    """
-    return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Documents without the lines that an earlier one has; n_chars is that of the new text. A text that has or keeps nothing goes."""
+    kept = dedup_lines(docs.select(*COLUMNS)).filter(F.btrim("text", F.lit(SPACES)) != "")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,4 +76,4 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emitted(run(spark, sf_dir))
 
 
-QUERIES = {"pipeline": (run, ORACLE_SQL)}
+QUERIES = {"pipeline": (run, ORACLE_SQL), "pipeline_corpus": (corpus, None)}

@@ -46,7 +46,9 @@ def test_stages(spark, folder):
     assert sum(n % 6 == 0 for n in toxic) <= 4 and sum(n % 6 > 0 for n in toxic) >= 330
     shared = "This very line is in many of the documents"
     assert shared in lines[13]["text"] and not any(shared in lines[n]["text"] for n in (14, 15))
-    assert lines[2]["text"] == "" and lines[1]["text"] and lines[16]["text"] == "" and lines[1]["n_chars"] == len(lines[1]["text"])
+    # The exact copy loses all its lines; it goes, as do the texts that were empty.
+    assert not {2, 16, 17} & set(lines) and lines[1]["n_chars"] == len(lines[1]["text"]) > 0
+    assert all(r["text"] for r in lines.values())
     assert set(lines) - set(groups) == {9}
     assert set(groups) - set(clean) == {11}
     assert set(mixed) == set(clean) and all(r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in mixed.values())

@@ -23,11 +23,11 @@ def test_query(spark, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     rows = df.collect()
     sql = entry_module.oracle_sql().get(name)
-    table = "pages" if "page_id" in df.columns else "documents"
-    assert len(rows) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
+    table, key = next((t, k) for t, k in (("pages", "page_id"), ("conversations", "conv_id"), ("documents", "doc_id")) if k in df.columns)
+    assert len(rows) == spark.read.parquet(f"{SF_DIR}/{table}.parquet").select(key).distinct().count()
     if sql:
         db = duckdb.connect()
-        for t in ("documents", "pages", "benchmark", "labels"):
+        for t in ("documents", "pages", "benchmark", "labels", "conversations"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
         found = db.execute(sql)
         names = [d[0] for d in found.description]
