@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,6 +45,20 @@ def hash_order(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << 40))
 
 
+def pieces(texts: pa.Array, size: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """UTF-8 bytes of neighbouring texts, about ``size`` at a time, and where each text ends in them. Null is an empty text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1)
+        yield data[int(at[lo]) : int(at[hi])].to_pybytes() if data else b"", at[lo + 1 : hi + 1] - at[lo]
+        lo = hi
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """The frame without columns that clash with the names of a result."""
     taken = {n.lower() for n in names}

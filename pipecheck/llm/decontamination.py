@@ -11,6 +11,8 @@ from pipecheck.session import written
 # Fixed value: what stands between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = 10
+# Neighbouring words of test windows are marked in a table of 2^PAIR_BITS bits.
+PAIR_BITS = 23
 
 
 def words(text: Column) -> Column:
@@ -37,7 +39,24 @@ def test_windows(items: DataFrame, n: int = WORDS) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def _cell(*words: Column) -> Column:
+    """The bit of neighbouring words; a null word counts as none."""
+    return F.shiftrightunsigned(F.xxhash64(*words), 64 - PAIR_BITS)
+
+
+def neighbour_marks(windows: DataFrame) -> DataFrame:
+    """word, bits: the cells of all neighbours in ``windows`` (terms), and of the words of one-word windows, 64 a row, as a written table.
+
+    It has at most 2^PAIR_BITS bits, whatever the input.
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.size("terms") - 1, F.lit(1)))
+    pairs = windows.select("terms", F.explode(places).alias("k")).select(F.slice("terms", F.col("k"), F.lit(2)).alias("pair"))
+    cells = pairs.select(_cell(F.get("pair", F.lit(0)), F.get("pair", F.lit(1))).alias("cell"))
+    bit = F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    return written(cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "test-neighbours")
+
+
+def build_index(docs: DataFrame, terms: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """The stored postings term, doc_id, pos of ``docs`` (doc_id, text) for the given ``terms``.
 
     Each task writes the posting lists of its own documents, sorted by term, so nothing is shuffled and a
@@ -45,10 +64,28 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     term that some test window needs; other words can be in no match. A row with a null term holds a
     document's number of words in pos. ``terms`` (one column, term) comes from a written table: Spark broadcasts it
     where its files are below the session's limit and shuffles otherwise.
+
+    With ``marks`` (neighbour_marks) the index serves phrases only: a posting is kept where the word stands beside a neighbour that it has in
+    some window, or is a window alone. All words of an occurrence do; hashes that agree by chance keep a few postings more.
     """
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
     # A second element of each document: its length, under no term.
-    tokens = split.select("doc_id", F.posexplode(F.concat(F.col("words"), F.array(F.lit(None).cast("string")))).alias("pos", "term"))
+    listed = F.posexplode(F.concat(F.col("words"), F.array(F.lit(None).cast("string")))).alias("pos", "term")
+    if marks is None:
+        tokens = split.select("doc_id", listed)
+    else:
+        beside = {
+            "alone": _cell(F.col("term")),
+            "next": _cell(F.col("term"), F.get("words", F.col("pos") + 1)),
+            "prior": _cell(F.get("words", F.col("pos") - 1), F.col("term")),
+        }
+        tokens = split.select("doc_id", "words", listed).select("doc_id", "pos", "term", *(c.alias(n) for n, c in beside.items()))
+        held = F.col("term").isNull()
+        for n in beside:
+            own = marks.select(F.col("word").alias(f"{n}_word"), F.col("bits").alias(f"{n}_bits"))
+            tokens = tokens.join(F.broadcast(own), F.shiftright(n, 6) == F.col(f"{n}_word"), "left")
+            held = held | (F.getbit(f"{n}_bits", F.col(n).bitwiseAND(F.lit(63))) == 1)
+        tokens = tokens.filter(held).select("doc_id", "pos", "term")
     wanted = terms.select(F.col("term").alias("wanted"))
     kept = tokens.join(wanted, F.col("term") == F.col("wanted"), "left").filter("wanted is not null or term is null")
     return written(kept.select("term", "doc_id", "pos").sortWithinPartitions("term", "doc_id", "pos"), "postings")
@@ -144,7 +181,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS, slack: int
     """
     windows = test_windows(items, n)
     terms = written(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
-    index = build_index(docs, terms)
+    index = build_index(docs, terms, neighbour_marks(windows) if slack is None else None)
     ranked = ranked_terms(windows, index)
     matches = written(phrase_matches(index, ranked), "phrase-matches")
     # Words covered by overlapping occurrences, counted once: each adds what lies past all earlier ends.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pipecheck.llm.common import SPACES, SQL_SPACES, ascii_lower, hash128, sql_lower, table, without
+from pipecheck.session import written
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -28,7 +29,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     """Drop lines found in ``min_docs`` documents or more, except in the smallest doc_id.
 
     Returns the columns of ``docs`` (doc_id and text needed) with the new text, and
-    n_lines, n_dropped. Counting shuffles hashes only, combined per task, so a line of
+    n_lines, n_dropped. The lines' hashes are written once. Counting shuffles hashes only, combined per task, so a line of
     a third of the documents sends one row per task and document; documents meet
     their dropped positions on doc_id, one row each.
 
@@ -37,7 +38,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     document: each of them loses the same positions. Columns named n_lines or n_dropped
     are replaced. No rows give no rows.
     """
-    keys = line_keys(docs, min_chars)
+    keys = written(line_keys(docs, min_chars), "line-keys")
     shared = (
         keys.groupBy("k1", "k2")
         .agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table, without
+from pipecheck.llm.common import SPACES, table, without
 from pipecheck.session import written
 
 # Documents of one source and size are ranked in so many independent bins.
@@ -14,7 +14,10 @@ BINS = 65536
 
 def n_words(text: Column) -> Column:
     """Number of runs without the six ASCII white-space characters; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    pieces = F.size(F.split(text, r"[\x20\x09-\x0D]+", -1))
+    # White space at either end has an empty piece outside of it.
+    outside = [F.substring(text, place, 1).isin(*SPACES).cast("int") for place in (1, -1)]
+    return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(pieces - outside[0] - outside[1]).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import table
+from pipecheck.llm.common import pieces, table
 from pipecheck.llm.components import components
 from pipecheck.session import written
 
@@ -24,6 +24,14 @@ MARK_BITS = 23
 # The suffix filter compares how many n-grams of each text fall into so many hashed parts.
 PARTS = 32
 
+# Bytes of texts that are cut into n-grams together.
+PIECE = 1 << 20
+# Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+_FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+# Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -37,24 +45,66 @@ class _WordHashes(dict):
         return own
 
 
-class Shingler:
-    """The set of a text's word n-grams as sorted 64-bit hashes; fewer words than n are one n-gram."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _ODD[1]
+    h ^= h >> np.uint64(32)
+    h *= _ODD[3]
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words raw[start:end], eight bytes of all words at a time. Eight more bytes stand behind the last word."""
+    size = end - start
+    own = size.astype(np.uint64) * _ODD[0]
+    eights = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from each place on
+    rows, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(rows):
+        left = size[rows] - done
+        own[rows] = _mixed(own[rows] ^ (eights[start[rows] + done] & _FIRST[np.minimum(left, 8)]))
+        rows, done = rows[left > 8], done + 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        own[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+    return own
+
+
+def _sets(raw: bytes, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The sets of texts that stand one behind the other in ``raw``, up to ``ends``, and eight more bytes."""
+    # bytes.translate knows A-Z and the six kinds of white space of the contract only.
+    raw = raw.translate(_FOLDED)
+    inside = np.frombuffer(raw, dtype=np.uint8)[: ends[-1]] != 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = ends[(ends > 0) & (ends < len(inside))]  # a word also ends with its text
+    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
+    start = np.flatnonzero(first)
+    own = _word_hashes(raw, start, np.flatnonzero(last) + 1)
+    whole = np.full(max(len(own) - WORDS + 1, 0), WORDS, dtype=np.uint64)
+    for k in range(WORDS):
+        whole += own[k : k + len(whole)] * _ODD[k]
+    lo = 0
+    for hi in np.searchsorted(start, ends).tolist():
+        if hi - lo >= WORDS:
+            keys = np.sort(whole[lo : hi - WORDS + 1])
+            yield keys[np.append(True, keys[1:] != keys[:-1])]
+        else:
+            size = hi - lo
+            yield np.array([size], dtype=np.uint64) + (own[lo:hi] * _ODD[:size]).sum(dtype=np.uint64) if size else own[:0]
+        lo = hi
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The set of each text's word n-grams as sorted 64-bit hashes; fewer words than n are one n-gram, null has none.
+
+    The UTF-8 bytes of some hundred texts go through each step together.
+    """
+    return [keys for raw, ends in pieces(texts, PIECE) for keys in _sets(raw + bytes(8), ends)]
 
-    def __init__(self):
-        self.words = _WordHashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        # bytes.lower and bytes.split know ASCII only, as the contract's A-Z and white space.
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        own = np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
-        size = min(WORDS, len(own))
-        n = len(own) - size + 1
-        keys = np.full(n, size, dtype=np.uint64)
-        for k in range(size):
-            keys += own[k : k + n] * _ODD[k]
-        return np.unique(keys)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of 64-bit numbers as one column of array<long>."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, dtype=np.int64), *(a.view(np.int64) for a in arrays)]))
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
@@ -68,23 +118,23 @@ def shingle_facts(docs: DataFrame) -> DataFrame:
     n-grams occurs in its documents; that row has no digest.
     """
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, cells = Shingler(), np.zeros(1 << BITS, dtype=np.int64)
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, names = np.zeros(1 << BITS, dtype=np.int64), ["doc_id", "n", "d1", "d2", "cells", "counts"]
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
+            sets = shingle_sets(batch.column("text"))
             if sets:
                 cells += np.bincount(_cells(np.concatenate(sets)), minlength=1 << BITS)
-            digests = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64) for s in sets]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests],
-                "cells": None, "counts": None,
-            })
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), dtype=np.int64)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            none = pa.nulls(len(sets), pa.list_(pa.int32())), pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(digests[::2]), pa.array(digests[1::2]), *none], names)
         used = np.flatnonzero(cells)
-        yield pd.DataFrame({"doc_id": [None], "n": [None], "d1": [None], "d2": [None], "cells": [used.astype(np.int32)], "counts": [cells[used]]})
+        own = pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([cells[used]], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *(pa.nulls(1, pa.int64()) for _ in range(3)), *own], names)
 
     schema = "doc_id string, n long, d1 long, d2 long, cells array<int>, counts array<long>"
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    made = ids.mapInPandas(facts, schema)
+    made = ids.mapInArrow(facts, schema)
     return written(made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "shingle-facts")
 
 
@@ -108,19 +158,20 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     The order is the frequency of the cell, then the hash: the same in all documents.
     """
 
-    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                keys = shingles(text)
-                if len(keys):
-                    order = np.argsort(counts[_cells(keys)], kind="stable")[: prefix_length(len(keys))]
-                    parts = np.bincount((keys & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-                    rows.append((doc_id, len(keys), keys[order].astype(np.int64), parts))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix", "parts"])
+            sets = shingle_sets(batch.column("text"))
+            found = [k for k, keys in enumerate(sets) if len(keys)]
+            prefix, parts = [], []
+            for keys in map(sets.__getitem__, found):
+                prefix.append(keys[np.argsort(counts[_cells(keys)], kind="stable")[: prefix_length(len(keys))]])
+                parts.append(np.bincount((keys & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS))
+            n = pa.array([len(sets[k]) for k in found], pa.int32())
+            ids = batch.column("doc_id").take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, n, _lists(prefix), _lists(parts)], ["doc_id", "n", "prefix", "parts"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInPandas(rarest, "doc_id long, n int, prefix array<long>, parts array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    return rows.mapInArrow(rarest, "doc_id long, n int, prefix array<long>, parts array<long>")
 
 
 def _least_shared(n: Column, m: Column) -> Column:
@@ -165,14 +216,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     bound = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     left = written(both.filter(bound >= _least_shared(F.col("a_n"), F.col("b_n"))).select("a", "b"), "pairs")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "keys": [shingles(t).astype(np.int64) for t in batch["text"]]})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(shingle_sets(batch.column("text")))], ["doc_id", "keys"])
 
     wanted = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
-    texts = marked(docs.select("doc_id", "text"), wanted)
-    keys = texts.mapInPandas(sets, "doc_id long, keys array<long>").dropDuplicates(["doc_id"])
+    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted)
+    keys = texts.mapInArrow(sets, "doc_id long, keys array<long>").dropDuplicates(["doc_id"])
     keys = written(keys, "shingle-sets")
     met = left.join(keys.select(F.col("doc_id").alias("a"), F.col("keys").alias("a_keys")), "a").join(
         keys.select(F.col("doc_id").alias("b"), F.col("keys").alias("b_keys")), "b"

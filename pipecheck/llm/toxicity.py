@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipecheck.llm.common import hash_cut, hash_order, table, with_fields, without
+from pipecheck.llm.common import hash_cut, hash_order, pieces, table, with_fields, without
 
 BITS = 18
 # Bounds of the training sample: rows of either kind, those of the smallest hash.
@@ -20,6 +21,8 @@ LONGEST = 20000
 # A feature takes part if it is in so many sample texts and its share among the positives differs by so many standard errors.
 LEAST_TEXTS = 5
 LEAST_Z = 5.0
+# Bytes of texts that are scored together.
+PIECE = 1 << 18
 STEPS = 1000
 RATE = 0.05
 DECAY = 1e-4
@@ -69,6 +72,36 @@ class Hasher:
         return index, np.log1p(count)
 
 
+def _text_scores(raw: bytes, ends: np.ndarray, weights: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """Sum of weights[feature] * log(1 + count) of each text; they stand one behind the other in ``raw``, up to ``ends``.
+
+    The features are those of ``hasher``; only those with a weight are counted.
+    """
+    raw = np.frombuffer(raw.lower(), dtype=np.uint8)
+    if len(raw) >= len(hasher.up):
+        hasher.up, hasher.down = _powers(2 * len(raw) + 2)
+    inside = _IN_WORD[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = ends[(ends > 0) & (ends < len(raw))]  # a word also ends with its text
+    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw + np.uint64(1)) * hasher.up[: len(raw)], out=total[1:])
+    of_text = np.searchsorted(ends, start, side="right")
+    found = []
+    for kind, size in zip(np.arange(1, 4, dtype=np.uint64) * _BASE, (None, 4, 6), strict=True):
+        long = slice(None) if size is None else end - start > size
+        s, e = start[long], end[long] if size is None else start[long] + size
+        h = (total[e] - total[s]) * hasher.down[s] + kind
+        h = (((h ^ (h >> np.uint64(29))) * _MIX) >> hasher.shift).astype(np.int64)
+        known = weights[h] != 0
+        found.append(of_text[long][known] * len(weights) + h[known])
+    cell, count = np.unique(np.concatenate(found), return_counts=True)
+    return np.bincount(cell // len(weights), weights[cell % len(weights)] * np.log1p(count), minlength=len(ends))
+
+
 def _screened(positive: list, unlabelled: list, size: int) -> np.ndarray:
     """Features whose share of texts differs between the positives and the unlabelled texts."""
     def texts(sample):
@@ -173,18 +206,17 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFram
     """
     weights, bias = model
     rest = without(docs, ["score"])
-    schema = with_fields(rest, "score double")
+    schema, names = with_fields(rest, "score double"), [c.lower() for c in rest.columns]
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            z = np.full(len(batch), bias)
-            for n, text in enumerate(batch["text"]):
-                index, value = hasher(text or "")
-                z[n] += weights[index] @ value
-            yield batch.assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            texts = batch.column(names.index("text"))
+            z = np.concatenate([np.empty(0), *(_text_scores(raw, ends, weights, hasher) for raw, ends in pieces(texts, PIECE))])
+            score = 1 / (1 + np.exp(-np.clip(bias + z, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    return rest.mapInPandas(scored, schema)
+    return rest.mapInArrow(scored, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

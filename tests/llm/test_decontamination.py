@@ -97,3 +97,26 @@ def test_proximity_of_the_whole_table_against_brute_force(spark):
         assert any(near[n] and not r["contaminated"] for n, r in exact.items()) and all(near[n] for n, r in exact.items() if r["contaminated"])
     assert d.contamination(docs.limit(0), items, slack=1).count() == 0
     assert d.contamination(docs, items.limit(0), slack=1).filter("n_near > 0").count() == 0
+
+
+def test_index_of_phrases_keeps_words_beside_their_neighbours(spark, monkeypatch):
+    held = {}
+
+    def kept(df, name):
+        held[name] = written(df, name)
+        return held[name]
+
+    written = d.written
+    monkeypatch.setattr(d, "written", kept)
+    common = " ".join(["the of"] * 300)
+    texts = [f"{common} {' '.join(f'w{k}' for k in range(12))} {common}", common, "solo", "the", "w11 w10 w9", "w3 w4", None]
+    items = spark.createDataFrame([(1, "the " + " ".join(f"w{k}" for k in range(12)) + " of"), (2, "solo")], "item_id long, text string")
+    got = d.contamination(documents(spark, texts), items)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()} == {
+        0: (1212, 12, ["1"]), 1: (600, 0, []), 2: (1, 1, ["2"]), 3: (1, 0, []), 4: (3, 0, []), 5: (2, 0, []), 6: (0, 0, []),
+    }
+    # Of 1,200 common words next to others only those beside the passage are kept.
+    assert held["postings"].filter("term is not null").count() < 100
+    near = d.contamination(documents(spark, texts), items, slack=0)
+    assert {r["doc_id"]: r["n_hit"] for r in near.collect()} == {r["doc_id"]: r["n_hit"] for r in got.collect()}
+    assert held["postings"].filter("term = 'the'").count() == 901

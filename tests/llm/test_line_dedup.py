@@ -3,6 +3,7 @@ import hashlib
 from helpers import by_id, documents, spark_rows, sql_rows
 
 from pipecheck.llm import line_dedup
+from pipecheck.session import written
 from pyspark.sql import functions as F
 
 TEXTS = [
@@ -51,3 +52,11 @@ def test_long_text(spark):
     line = "word " * 20000
     got = by_id(line_dedup.dedup_lines(documents(spark, [line, line + "\nlast"])), "text")
     assert got == {0: line, 1: "last"} and hashlib.sha256(got[1].encode()).hexdigest()
+
+
+def test_lines_are_hashed_once(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: held.append(name) or written(df, name))
+    found = line_dedup.dedup_lines(documents(spark, TEXTS))
+    assert held == ["line-keys"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 0

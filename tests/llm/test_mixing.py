@@ -63,3 +63,11 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == 4 and len({r["copies"] for r in rows if r["doc_id"] == 1}) == 1
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_number_of_words(spark):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a\n", " a  b\t", "a\u00a0b c", "é è", "\u2003", "a\x1cb", "x " * 500]
+    got = documents(spark, texts).select("doc_id", mixing.n_words(F.col("text")).alias("n")).collect()
+    assert [r["n"] for r in sorted(got)] == [len((t or "").encode().split()) for t in texts]
+    # A regular expression that lists all words of a text costs half as much again.
+    assert "regexp" not in documents(spark, texts).select(mixing.n_words(F.col("text")))._jdf.queryExecution().toString().lower()

@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from helpers import documents
 
 from pipecheck.llm import language, toxicity
+from pipecheck.llm.common import pieces
 
 
 def held_out(n):
@@ -106,3 +108,15 @@ def test_languages_without_training_rows(spark):
     model = language.fit_languages(docs)
     assert {r["lang_pred"] for r in language.label_languages(docs, model).collect()} == {"und"}
     assert language.label_languages(docs.limit(0), model).count() == 0
+
+
+def test_scores_of_many_texts_at_once():
+    weights = np.random.default_rng(1).normal(size=1 << toxicity.BITS)
+    weights[::3] = 0
+    texts = ["Ab ab, cd-ab", None, "x" * 9000 + " y", "", "état ÉTAT etat", "a", "a", " ..", "abcd abcde abcdefgh", "the end"]
+    hasher = toxicity.Hasher()
+    plain = [weights[i] @ v for i, v in (hasher(t or "") for t in texts)]
+    for size in (1, 40, 1 << 18):
+        parts = pieces(pa.array(texts), size)
+        got = np.concatenate([toxicity._text_scores(raw, ends, weights, toxicity.Hasher()) for raw, ends in parts])
+        assert np.allclose(got, plain, rtol=0, atol=1e-9)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from helpers import documents
 
@@ -85,3 +87,18 @@ def test_components(spark):
     want = {**dict.fromkeys((1, 2, 3, 4), 1), **dict.fromkeys((8, 9, 10), 8), **dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(500, 531), 500)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_of_many_texts_at_once(monkeypatch):
+    texts = [*corpus(3), "x" * 100 + " y z", "x" * 101 + " y z", "q" * 64, "abcdefgh", "abcdefghi", "a\x0bb\x0cC d\re\tF", "a\x1cb", "e\u2003f", None]
+    plain = [shingles(t) for t in texts]
+    for piece in (1, 50, 1 << 20):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        sets = ngram_join.shingle_sets(pa.array(["left out", *texts]).slice(1))
+        assert [len(s) for s in sets] == [len(s) for s in plain]
+        assert all((s[1:] > s[:-1]).all() for s in sets)
+        # Equal n-grams, and only these, have equal hashes.
+        assert len(set().union(*(s.tolist() for s in sets))) == len(frozenset().union(*plain))
+        for a, b in ((0, 5), (10, 11), (-3, -2)):
+            assert len(np.intersect1d(sets[a], sets[b])) == len(plain[a] & plain[b])
+    assert ngram_join.shingle_sets(pa.array([], pa.string())) == []
